@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from . import urls
+from . import chat, decontam, langid, media, simhash, urls
 
 QUERIES = {
+    "op1_simhash_dedup": simhash.op1_simhash_dedup,
+    "op5_media_columns": media.op5_media_columns,
+    "op6_language_id": langid.op6_language_id,
     "op7_url_filters": urls.op7_url_filters,
+    "op8_chat_formatting": chat.op8_chat_formatting,
+    "op9_benchmark_decontamination": decontam.op9_benchmark_decontamination,
 }
 
 ORACLES = {
     "op7_url_filters": urls.oracle(),
+    "op8_chat_formatting": chat.oracle(),
 }
