@@ -16,9 +16,11 @@ import re
 import sys
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from . import common
 
@@ -112,20 +114,22 @@ def format_trees(conversations: DataFrame, vocabulary_path: str | None = None, m
     counts as empty; null conv_ids are one conversation; repeated rows are further turns. A row has at
     most max_tokens tokens and max_members conversations, but one conversation always stays whole.
     """
-    path = vocabulary_path or vocabulary()
+    path, target = vocabulary_path or vocabulary(), to_arrow_schema(StructType.fromDDL(TREE))
     walk = conversations_of(conversations).repartitionByRange("path", "conv_id").sortWithinPartitions("path", "conv_id")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow as pa
+
         machine = tokenizer(path)
         tail = machine.encode(f"{END}\n", add_special_tokens=False).ids
         tree, done = Tree(), []
         for batch in batches:
             known: dict[str, list[int]] = {}
-            turns = [[(t["role"], t["text"]) for t in conv] for conv in batch["turns"]]
+            turns = [[(t["role"], t["text"]) for t in conv] for conv in batch.column("turns").to_pylist()]
             pieces = list(dict.fromkeys(x for conv in turns for role, text in conv for x in (head(role), escape(text))))
             for piece, coded in zip(pieces, machine.encode_batch(pieces, add_special_tokens=False), strict=True):
                 known[piece] = coded.ids
-            for conv_id, conv in zip(batch["conv_id"], turns, strict=True):
+            for conv_id, conv in zip(batch.column("conv_id").to_pylist(), turns, strict=True):
                 same = 0
                 while same < min(len(conv), len(tree.path)) and tree.path[same][0] == conv[same]:
                     same += 1
@@ -137,25 +141,26 @@ def format_trees(conversations: DataFrame, vocabulary_path: str | None = None, m
                 del tree.path[same:]
                 for turn, parts in zip(conv[same:], coded[same:], strict=True):
                     tree.add(turn, parts)
-                tree.members.append({"conv_id": None if pd.isna(conv_id) else int(conv_id), "node": tree.path[-1][1] if tree.path else -1})
+                tree.members.append({"conv_id": conv_id, "node": tree.path[-1][1] if tree.path else -1})
             if done:
-                yield pd.DataFrame(done)
+                yield pa.RecordBatch.from_pylist(done, target)
                 done = []
         if tree.members:
-            yield pd.DataFrame([tree.row()])
+            yield pa.RecordBatch.from_pylist([tree.row()], target)
 
-    return walk.mapInPandas(run, schema=TREE)
+    return walk.mapInArrow(run, schema=TREE)
 
 
 def read_back(trees: DataFrame, vocabulary_path: str | None = None) -> DataFrame:
     """conv_id, formatted text and loss text (what the loss spans on its path hold, unescaped) of every member."""
     path = vocabulary_path or vocabulary()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         machine = tokenizer(path)
-        for batch in batches:
-            for ids, nodes, members in zip(batch["token_ids"], batch["nodes"], batch["members"], strict=True):
-                ids, rows = list(map(int, ids)), []
+
+        def read(batch) -> dict:
+            rows = []
+            for ids, nodes, members in zip(*(batch.column(c).to_pylist() for c in ("token_ids", "nodes", "members")), strict=True):
                 for member in members:
                     leaf = nodes[member["node"]]
                     whole = [x for span in leaf["attends"] for x in ids[span["start"] : span["stop"]]]
@@ -166,29 +171,28 @@ def read_back(trees: DataFrame, vocabulary_path: str | None = None) -> DataFrame
                     spans = [ids[n["loss_start"] : n["loss_stop"]] for n in reversed(line) if n["loss_stop"] > n["loss_start"]]
                     loss = "".join(unescape(machine.decode(s, skip_special_tokens=False)) for s in spans)
                     rows.append((member["conv_id"], machine.decode(whole, skip_special_tokens=False), loss))
-                out = pd.DataFrame(rows, columns=["conv_id", "formatted", "loss_text"])
-                out["conv_id"] = out["conv_id"].astype("Int64")
-                yield out
+            return dict(zip(("conv_id", "formatted", "loss_text"), zip(*rows, strict=True), strict=True))
+
+        return read
 
-    return trees.select("token_ids", "nodes", "members").mapInPandas(run, schema="conv_id long, formatted string, loss_text string")
+    return common.map_rows(trees.select("token_ids", "nodes", "members"), "conv_id long, formatted string, loss_text string", make, rows=1)
 
 
 def digests(texts: DataFrame) -> DataFrame:
     """What the query returns for each formatted conversation."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            turns = [parse(x) for x in batch["formatted"]]
-            yield pd.DataFrame({
-                "conv_id": batch["conv_id"].astype("Int64"),
-                "n_turns": [len(x) for x in turns],
-                "turns_sha256": [hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in x).encode("utf-8", "surrogatepass")).hexdigest() for x in turns],
-                "loss_chars": [len(x) for x in batch["loss_text"]],
-                "loss_sha256": [hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in batch["loss_text"]],
-                "formatted_chars": [len(x) for x in batch["formatted"]],
-            })
-
-    return texts.mapInPandas(run, schema="conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    def digest(batch) -> dict:
+        formatted, loss = batch.column("formatted").to_pylist(), batch.column("loss_text").to_pylist()
+        turns = [parse(x) for x in formatted]
+        return {
+            "n_turns": [len(x) for x in turns],
+            "turns_sha256": [hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in x).encode("utf-8", "surrogatepass")).hexdigest() for x in turns],
+            "loss_chars": [len(x) for x in loss],
+            "loss_sha256": [hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in loss],
+            "formatted_chars": [len(x) for x in formatted],
+        }
+
+    return common.map_rows(texts, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long", lambda: digest)
 
 
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

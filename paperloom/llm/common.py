@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -45,3 +48,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns (new name = type), cast; what else df has can't clash with what an operator adds."""
     return df.select(*[F.col(f"`{name}`").cast(kind).alias(name) for name, kind in columns.items()])
+
+
+def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], dict]], rows: int = 1024) -> DataFrame:
+    """df through make()'s function, called once a task, in Arrow batches of at most `rows` rows.
+
+    The function returns columns as lists or arrays; a column of schema that it leaves out is the
+    batch's own, unchanged (so integers keep all digits next to nulls).
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    target = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow as pa
+
+        fn = make()
+        for batch in batches:
+            for start in range(0, batch.num_rows, rows):
+                part = batch.slice(start, rows)
+                made = fn(part)
+                columns = [made[f.name] if f.name in made else part.column(f.name) for f in target]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, target, strict=True)], schema=target)
+
+    return df.mapInArrow(run, schema=schema)
+
+
+def keep_rows(df: DataFrame, make: Callable[[], Callable[[list], list[bool]]], column: str = "text", rows: int = 1024) -> DataFrame:
+    """The rows of df for which make()'s function of a list of the column's values says so; all columns as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow as pa
+
+        fn = make()
+        for batch in batches:
+            for start in range(0, batch.num_rows, rows):
+                part = batch.slice(start, rows)
+                yield part.filter(pa.array(fn(part.column(column).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(run, schema=df.schema)

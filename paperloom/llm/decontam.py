@@ -14,7 +14,6 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +27,7 @@ BLOCKS = 8
 #: Items that travel to the executors at once; more make further passes over the documents.
 BLOCK_ITEMS = 20_000
 BLOCK_CHARS = 32 << 20
+FIELDS = ("item_id", "first_word", "n_words", "similarity")
 FOUND = "array<struct<item_id: long, first_word: int, n_words: int, similarity: double>>"
 
 
@@ -175,17 +175,16 @@ def search(docs: DataFrame, items: DataFrame) -> DataFrame:
     out = common.pick(docs, doc_id="long", text="string").withColumn("found", F.array().cast(FOUND))
     for block in blocks_of(items):
         index = Index(block)
-        out = out.mapInPandas(searcher(index), schema=f"doc_id long, text string, found {FOUND}")
+        out = common.map_rows(out, f"doc_id long, text string, found {FOUND}", searcher(index))
     return out.select("doc_id", (F.size("found") > 0).alias("contaminated"), "found")
 
 
 def searcher(index: Index):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [[*map(tuple, map(dict.values, old)), *index.search(t)] for old, t in zip(batch["found"], batch["text"], strict=True)]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "text": batch["text"], "found": found})
+    def add(batch) -> dict:
+        before, texts = batch.column("found").to_pylist(), batch.column("text").to_pylist()
+        return {"found": [[*old, *(dict(zip(FIELDS, f, strict=True)) for f in index.search(t))] for old, t in zip(before, texts, strict=True)]}
 
-    return run
+    return lambda: add
 
 
 def keep_uncontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -193,12 +192,7 @@ def keep_uncontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     out = docs
     for block in blocks_of(items):
         index = Index(block)
-
-        def run(batches: Iterator[pd.DataFrame], index: Index = index) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                yield batch[[not index.search(t) for t in batch["text"]]]
-
-        out = out.mapInPandas(run, schema=docs.schema)
+        out = common.keep_rows(out, lambda index=index: lambda texts: [not index.search(t) for t in texts])
     return out
 
 

@@ -165,17 +165,15 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     score is the prediction's proportion. Rows are independent: no shuffle.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            mixed = infer(list(batch["text"]), model)
-            yield pd.DataFrame({
-                "doc_id": batch["doc_id"].astype("Int64"),
-                "lang_pred": [m[0][0] if m else UNKNOWN for m in mixed],
-                "score": [min(1.0, m[0][1]) if m else 0.0 for m in mixed],
-                "mixture": [[{"lang": x, "share": y} for x, y in m] for m in mixed],
-            })
+    def judge(batch) -> dict:
+        mixed = infer(batch.column("text").to_pylist(), model)
+        return {
+            "lang_pred": [m[0][0] if m else UNKNOWN for m in mixed],
+            "score": [min(1.0, m[0][1]) if m else 0.0 for m in mixed],
+            "mixture": [[{"lang": x, "share": y} for x, y in m] for m in mixed],
+        }
 
-    return common.pick(docs, doc_id="long", text="string").mapInPandas(run, schema="doc_id long, lang_pred string, score double, mixture array<struct<lang: string, share: double>>")
+    return common.map_rows(common.pick(docs, doc_id="long", text="string"), "doc_id long, lang_pred string, score double, mixture array<struct<lang: string, share: double>>", lambda: judge)
 
 
 def held_out() -> Column:
@@ -193,13 +191,7 @@ def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
 
     The prediction runs inside one pass over whole rows, so nothing is joined back to the texts.
     """
-    schema = docs.schema
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch[[bool(m) for m in infer(list(batch["text"]), model)]]
-
-    return docs.mapInPandas(run, schema=schema)
+    return common.keep_rows(docs, lambda: lambda texts: [bool(m) for m in infer(texts, model)])
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,10 +9,8 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -199,11 +197,12 @@ def sniff_bytes(b: bytes, machine) -> list[tuple[str, int, int, int, int, int]]:
     return found
 
 
-def sniff_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def sniffer():
     machine = automaton()
-    for batch in batches:
+
+    def judge(batch) -> dict:
         rows = []
-        for key, declared, blob in zip(batch["id"], batch["declared"], batch["media"], strict=True):
+        for declared, blob in zip(batch.column("declared").to_pylist(), batch.column("media").to_pylist(), strict=True):
             b = blob if blob is not None else b""
             hits = sniff_bytes(b, machine)
             if hits and not hits[0][1]:
@@ -215,11 +214,11 @@ def sniff_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             rms = float(np.sqrt(np.mean(level * level, dtype=np.float64))) if size else 0.0
             crossings = int(np.count_nonzero((data[1:] >= 128) != (data[:-1] >= 128))) if size else 0
             feature = f"type={kind};corrected={int(kind != declared)};bytes={size};mean={float(data.mean()) if size else 0:.4f};rms={rms:.4f};crossings={crossings};carved={','.join(x[0] for x in inner)}"
-            rows.append((key, kind, length, offset, size, samples, [(x[1], x[2], x[0]) for x in inner], feature))
-        out = pd.DataFrame(rows, columns=["id", "media_type", "media_length", "data_offset", "data_length", "samples", "carved", "feature"])
-        out["id"] = out["id"].astype("Int64")
-        out["media"] = batch["media"].to_numpy()
-        yield out
+            carved = [{"offset": x[1], "length": x[2], "media_type": x[0]} for x in inner]
+            rows.append((kind, length, offset, size, samples, carved, feature))
+        return dict(zip(("media_type", "media_length", "data_offset", "data_length", "samples", "carved", "feature"), zip(*rows, strict=True), strict=True))
+
+    return judge
 
 
 def sniff(media: DataFrame) -> DataFrame:
@@ -231,7 +230,7 @@ def sniff(media: DataFrame) -> DataFrame:
     independent: no shuffle, and equal bytes give equal values. An empty table gives an empty one.
     """
     given = common.pick(media, id="long", declared="string", media="binary")
-    return given.mapInPandas(sniff_batches, schema=f"{SCHEMA}, media binary")
+    return common.map_rows(given, f"{SCHEMA}, media binary", sniffer, rows=256)
 
 
 def carve(sniffed: DataFrame) -> DataFrame:

@@ -10,12 +10,10 @@ bit by bit. A pair that meets in many lists counts in the first one only.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -53,12 +51,10 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id and signed 64-bit fingerprint of every row of docs (doc_id, text). Null and empty texts: 0."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = np.array([fingerprint(t) for t in batch["text"]], np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "fp": found})
+    def mark(batch) -> dict:
+        return {"fp": np.array([fingerprint(t) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)}
 
-    return common.pick(docs, doc_id="long", text="string").mapInPandas(run, schema="doc_id long, fp long")
+    return common.map_rows(common.pick(docs, doc_id="long", text="string"), "doc_id long, fp long", lambda: mark)
 
 
 def byte(fp: Column, i: int) -> Column:
