@@ -1,6 +1,6 @@
 """Quality classifier by co-training.
 
-Two views describe a document: its text content (hashed words and byte trigrams) and its page metadata
+Two views describe a document: its text content (telling words and byte trigrams) and its page metadata
 (language, source, length, and how its lines are laid out and set). A logistic classifier for each view
 learns from labelled documents; over rounds each hands its most confident predictions on unlabelled
 documents to the other as labels. Each view is then calibrated on labelled documents that were kept
@@ -26,29 +26,45 @@ ROUNDS = 3
 #: Part of the unlabelled documents that a view labels in a round.
 SHARE = 0.1
 CONFIDENT = 0.9
-WORDS, TRIGRAMS = 1 << 12, 1 << 9
+#: Words are hashed to CELLS; those that tell a target's classes apart best on the labelled rows, so many a target, are features.
+CELLS, TELLING, TRIGRAMS = 1 << 18, 256, 1 << 9
 SOURCES = 64
 #: Every CALIBRATE-th labelled document, by another hash, calibrates.
 CALIBRATE = 4
 
 
-def content_view(text: str) -> np.ndarray:
-    """Square roots of the shares of hashed words and byte trigrams, and how much of the text they are set from."""
-    out = np.zeros(WORDS + TRIGRAMS, np.float32)
-    raw = text.encode("utf-8", "surrogatepass")
-    words = raw.lower().split()
-    if words:
-        cells = np.fromiter(map(zlib.crc32, (w.strip(b".,;:!?()\"'") for w in words)), np.uint32, len(words)) % WORDS
-        out[:WORDS] = np.sqrt(np.bincount(cells, minlength=WORDS) / len(words))
-    if len(raw) > 2:
-        b = np.frombuffer(raw, np.uint8).astype(np.uint32)
-        code = (b[:-2] << 16 | b[1:-1] << 8 | b[2:]) * np.uint32(2654435761) >> np.uint32(33 - TRIGRAMS.bit_length())
-        out[WORDS:] = np.sqrt(np.bincount(code, minlength=TRIGRAMS) / len(code))
-    return out
+def word_cells(text: str) -> np.ndarray:
+    """The distinct cells of the text's words: lower case, without marks around them."""
+    words = set(text.encode("utf-8", "surrogatepass").lower().split())
+    return np.unique(np.fromiter((zlib.crc32(w.strip(b".,;:!?()\"'")) for w in words), np.uint32, len(words)) % CELLS).astype(np.int32)
+
+
+def trigram_view(text: str) -> np.ndarray:
+    """Square roots of the shares of hashed byte trigrams."""
+    b = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8).astype(np.uint32)
+    if len(b) < 3:
+        return np.zeros(TRIGRAMS, np.float32)
+    code = (b[:-2] << 16 | b[1:-1] << 8 | b[2:]) * np.uint32(2654435761) >> np.uint32(33 - TRIGRAMS.bit_length())
+    return np.sqrt(np.bincount(code, minlength=TRIGRAMS) / len(code)).astype(np.float32)
+
+
+def telling(cells: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """The cells whose presence differs most between the classes, by standard errors."""
+    n1, n0 = max(1, int(y.sum())), max(1, int(len(y) - y.sum()))
+    held = [np.bincount(np.concatenate([np.zeros(0, np.int32), *(c for c, label in zip(cells, y, strict=True) if (label > 0.5) == wanted)]), minlength=CELLS) for wanted in (True, False)]
+    p = (held[0] + held[1] + 1) / (n1 + n0 + 2)
+    z = np.abs(held[0] / n1 - held[1] / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
+    best = np.argsort(-z, kind="stable")[:TELLING]
+    return best[z[best] > 0]
+
+
+def presence(cells: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """1 for each chosen cell (ascending) that is among the cells (ascending)."""
+    return np.isin(chosen, cells, assume_unique=True).astype(np.float32)
 
 
 def metadata_view(text: str, lang: str | None, source: str | None, n_chars: float | None) -> np.ndarray:
-    """Length, line layout, kinds of characters, and hashed language and source."""
+    """Length, line layout, kinds of characters, repetition, and hashed language and source."""
     lines = text.split("\n")
     sizes = np.fromiter(map(len, lines), np.float64, len(lines))
     raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
@@ -57,8 +73,10 @@ def metadata_view(text: str, lang: str | None, source: str | None, n_chars: floa
     marks = np.count_nonzero((raw > 32) & (raw < 48) | (raw > 57) & (raw < 65) | (raw > 90) & (raw < 97) | (raw > 122) & (raw < 127)) / n
     digits = np.count_nonzero((raw > 47) & (raw < 58)) / n
     spaces = np.count_nonzero(raw == 32) / n
+    words = text.split()
+    repeated = 1 - len(set(words)) / len(words) if words else 0.0
     given = float(n_chars) if n_chars is not None and not pd.isna(n_chars) else float(len(text))
-    plain = [np.log1p(max(0.0, given)) / 10, np.log1p(len(lines)) / 5, np.log1p(sizes.mean()) / 8, np.log1p(sizes.max()) / 10, np.count_nonzero(sizes < 20) / len(lines), 1 - len(set(lines)) / len(lines), 5 * upper, 5 * marks, 5 * digits, 2 * spaces]
+    plain = [np.log1p(max(0.0, given)) / 10, np.log1p(len(lines)) / 5, np.log1p(sizes.mean()) / 8, np.log1p(sizes.max()) / 10, np.count_nonzero(sizes < 20) / len(lines), 1 - len(set(lines)) / len(lines), 5 * upper, 5 * marks, 5 * digits, 2 * spaces, repeated, np.log1p(len(words)) * repeated / 5]
     out = np.zeros(len(plain) + 2 * SOURCES, np.float32)
     out[: len(plain)] = plain
     for i, name in enumerate((lang, source)):
@@ -67,11 +85,6 @@ def metadata_view(text: str, lang: str | None, source: str | None, n_chars: floa
     return out
 
 
-def views(text: str | None, lang: str | None, source: str | None, n_chars: float | None) -> tuple[np.ndarray, np.ndarray]:
-    text = text or ""
-    return content_view(text), metadata_view(text, lang, source, n_chars)
-
-
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -179,9 +192,16 @@ COLUMNS = {"doc_id": "long", "text": "string", "lang": "string", "source": "stri
 TARGETS = ("quality", "toxic")
 
 
-def seen_by(batch) -> tuple[np.ndarray, np.ndarray]:
-    both = [views(*row) for row in zip(*(batch.column(c).to_pylist() for c in ("text", "lang", "source", "n_chars")), strict=True)]
-    return tuple(np.array([b[i] for b in both], np.float32).reshape(len(both), -1) for i in (0, 1))
+@dataclass(frozen=True)
+class Classifier:
+    """The chosen word cells (ascending) and a co-trained model for each target."""
+
+    chosen: np.ndarray
+    models: dict[str, CoTrained]
+
+
+def rows_of(batch) -> list[tuple]:
+    return [(text or "", *rest) for text, *rest in zip(*(batch.column(c).to_pylist() for c in ("text", "lang", "source", "n_chars")), strict=True)]
 
 
 def sample(docs: DataFrame, labels: DataFrame) -> pd.DataFrame:
@@ -195,34 +215,41 @@ def sample(docs: DataFrame, labels: DataFrame) -> pd.DataFrame:
     rows = docs.join(F.broadcast(chosen), "doc_id")  # at most MAX_LABELLED + MAX_UNLABELLED ids
 
     def view(batch) -> dict:
-        content, metadata = seen_by(batch)
-        return {"content": [row.astype(np.float16).tobytes() for row in content], "metadata": [row.tobytes() for row in metadata]}
+        rows = rows_of(batch)
+        return {"cells": [word_cells(r[0]).tobytes() for r in rows], "trigrams": [trigram_view(r[0]).tobytes() for r in rows], "metadata": [metadata_view(*r).tobytes() for r in rows]}
 
     kept = ", ".join(f"{t} int" for t in TARGETS)
-    packed = common.map_rows(rows, f"doc_id long, {kept}, content binary, metadata binary", lambda: view, rows=256)
+    packed = common.map_rows(rows, f"doc_id long, {kept}, cells binary, trigrams binary, metadata binary", lambda: view, rows=256)
     return packed.dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
 
 
-def train(docs: DataFrame, labels: DataFrame) -> dict[str, CoTrained]:
+def train(docs: DataFrame, labels: DataFrame) -> Classifier:
     """A co-trained classifier for each target, from docs (the columns of documents) and labels (doc_id, quality, toxic)."""
     labels = common.pick(labels, doc_id="long", quality="int", toxic="int")
     rows = sample(common.pick(docs, **COLUMNS), labels)
-    width = [len(v) for v in views("", None, None, None)]
-    seen = [np.array([np.frombuffer(b, kind) for b in rows[name]], np.float32).reshape(len(rows), width[i]) for i, (name, kind) in enumerate((("content", np.float16), ("metadata", np.float32)))]
     known = rows[TARGETS[0]].notna().to_numpy(bool)
     calibrating = np.array([zlib.crc32(f"calibrate {i}".encode()) % CALIBRATE == 0 for i in rows["doc_id"][known]], bool)
-    return {t: co_train(tuple(x[known] for x in seen), rows[t][known].to_numpy(np.float64), calibrating, tuple(x[~known] for x in seen)) for t in TARGETS}
+    cells = [np.frombuffer(c, np.int32) for c in rows["cells"]]
+    learnt = [c for c, held in zip((c for c, k in zip(cells, known, strict=True) if k), calibrating, strict=True) if not held]
+    y = {t: rows[t][known].to_numpy(np.float64) for t in TARGETS}
+    chosen = np.unique(np.concatenate([telling(learnt, y[t][~calibrating]) for t in TARGETS]))
+    words = np.array([presence(c, chosen) for c in cells], np.float32).reshape(len(rows), len(chosen))
+    plain = [np.array([np.frombuffer(b, np.float32) for b in rows[name]], np.float32).reshape(len(rows), width) for name, width in (("trigrams", TRIGRAMS), ("metadata", len(metadata_view("", None, None, None))))]
+    seen = (np.concatenate((words, plain[0]), axis=1), plain[1])
+    return Classifier(chosen, {t: co_train(tuple(x[known] for x in seen), y[t], calibrating, tuple(x[~known] for x in seen)) for t in TARGETS})
 
 
-def score(docs: DataFrame, models: dict[str, CoTrained]) -> DataFrame:
+def score(docs: DataFrame, classifier: Classifier) -> DataFrame:
     """doc_id, quality_score, toxic_score and keep (quality at least and toxicity under one half) of every row of docs.
 
     Null texts count as empty, null metadata as absent. Rows are independent: no shuffle.
     """
 
     def judge(batch) -> dict:
-        seen = seen_by(batch)
-        return {f"{t}_score": models[t].score(seen).astype(np.float64) for t in TARGETS}
+        rows = rows_of(batch)
+        content = np.array([np.concatenate((presence(word_cells(r[0]), classifier.chosen), trigram_view(r[0]))) for r in rows], np.float32)
+        seen = (content, np.array([metadata_view(*r) for r in rows], np.float32))
+        return {f"{t}_score": classifier.models[t].score(seen).astype(np.float64) for t in TARGETS}
 
     scored = common.map_rows(common.pick(docs, **COLUMNS), f"doc_id long, {', '.join(f'{t}_score double' for t in TARGETS)}", lambda: judge, rows=256)
     return scored.withColumn("keep", (F.col("quality_score") >= 0.5) & (F.col("toxic_score") < 0.5))
