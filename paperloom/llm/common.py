@@ -28,6 +28,7 @@ def materialise(df: DataFrame) -> DataFrame:
     and a lost executor costs no recomputation of what came before."""
     path = f"{scratch_dir(df.sparkSession)}/paperloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    df.sparkSession._jvm.System.gc()  # Spark's cleaner removes the shuffle files of plans that are gone
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._paperloom_path = path
     return out

@@ -25,12 +25,14 @@ CELLS = 1 << 17
 BITS_LINE, BITS_TEXT = 31, 31
 
 
+def spaced(text: Column) -> Column:
+    """Lower case, with tabs and carriage returns as spaces."""
+    return F.replace(F.replace(F.lower(text), F.lit("\t"), F.lit(" ")), F.lit("\r"), F.lit(" "))
+
+
 def words_of(line: Column) -> Column:
-    """The distinct words of a line: lower case, split at white space."""
-    plain = F.lower(line)
-    for space in "\t\r\x0b\x0c\xa0":
-        plain = F.replace(plain, F.lit(space), F.lit(" "))
-    return F.array_distinct(F.array_remove(F.split(plain, " "), ""))
+    """The distinct words of a line: lower case, split at spaces, tabs and carriage returns."""
+    return F.array_distinct(F.array_remove(F.split(spaced(line), " "), ""))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -39,20 +41,20 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return cut.select("id", "mark", F.posexplode("lines").alias("line_no", "line"))
 
 
-def cell(word: Column) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(CELLS)).cast("int")
-
-
 def rarity(docs: DataFrame) -> Column:
-    """For each cell the number of bits of its word count over all texts, as a literal array."""
-    plain = F.lower("text")
-    for space in "\n\t\r\x0b\x0c\xa0":
-        plain = F.replace(plain, F.lit(space), F.lit(" "))
-    words = docs.select(F.explode(F.split(plain, " ")).alias("word"))
-    counts = words.groupBy(cell(F.col("word")).alias("cell")).agg(F.count("*").alias("n"))
+    """For each cell the number of bits of its word count over all texts, shifted to the top of a long, as a literal array."""
+    words = docs.select(F.explode(F.split(F.replace(spaced(F.col("text")), F.lit("\n"), F.lit(" ")), " ")).alias("word"))
+    counts = words.groupBy(F.xxhash64("word").bitwiseAND(F.lit(CELLS - 1).cast("long")).alias("cell")).agg(F.count("*").alias("n"))
     rows = counts.select("cell", F.length(F.bin("n")).alias("bits")).collect()  # at most CELLS rows
-    found = {r["cell"]: r["bits"] for r in rows}
-    return F.expr(f"cast(split('{','.join(str(found.get(i, 0)) for i in range(CELLS))}', ',') as array<tinyint>)")
+    found = {r["cell"]: r["bits"] << 57 for r in rows}
+    return F.expr(f"cast(split('{','.join(str(found.get(i, 0)) for i in range(CELLS))}', ',') as array<bigint>)")
+
+
+def keys_of(line: Column, bits: Column) -> Column:
+    """The distinct words of a line as numbers, rarest first: the rarity class over 57 bits of the word's hash."""
+    hashes = F.array_distinct(F.transform(F.split(spaced(line), " "), lambda w: F.xxhash64(w)))
+    hashes = F.array_remove(hashes, F.xxhash64(F.lit("")))
+    return F.sort_array(F.transform(hashes, lambda h: F.get(bits, h.bitwiseAND(F.lit(CELLS - 1).cast("long")).cast("int")) + F.shiftrightunsigned(h, 7)))
 
 
 def position(id_: str = "id", mark: str = "mark", line_no: str = "line_no") -> Column:
@@ -97,9 +99,7 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 def later_matches(docs: DataFrame) -> DataFrame:
     """id, mark, line_no of all lines to remove; docs: id, mark, text."""
     bits = rarity(docs)
-    # Rarity class first, then 58 bits of the word's hash: the order of words and their identity in the index.
-    key = lambda w: F.shiftleft(F.get(bits, cell(w)).cast("long"), 57) + F.shiftrightunsigned(F.xxhash64(w), 7)
-    sets = lines_of(docs).select(position().alias("pos"), F.sort_array(F.transform(words_of(F.col("line")), key)).alias("keys"))
+    sets = lines_of(docs).select(position().alias("pos"), keys_of(F.col("line"), bits).alias("keys"))
     sets = sets.where(F.size("keys") >= MIN_WORDS).select("pos", "keys", F.size("keys").alias("n"))
     prefix = F.expr("slice(keys, 1, n - (4 * n + 4) div 5 + 1)")
     lines = common.materialise(sets.select("pos", F.xxhash64("keys").alias("s"), F.xxhash64(F.lit(1), "keys").alias("t"), "n", prefix.alias("prefix")))
