@@ -27,6 +27,8 @@ from . import common
 START, END = "<|im_start|>", "<|im_end|>"
 MAX_TOKENS = 1 << 15
 MAX_MEMBERS = 1 << 10
+#: Conversations that are formatted before their trees leave the worker.
+CONVERSATIONS = 128
 NODE = "struct<parent: int, start: int, stop: int, loss_start: int, loss_stop: int, attends: array<struct<start: int, stop: int>>>"
 TREE = f"token_ids array<int>, position_ids array<int>, nodes array<{NODE}>, members array<struct<conv_id: long, node: int>>"
 
@@ -123,7 +125,7 @@ def format_trees(conversations: DataFrame, vocabulary_path: str | None = None, m
         machine = tokenizer(path)
         tail = machine.encode(f"{END}\n", add_special_tokens=False).ids
         tree, done = Tree(), []
-        for batch in batches:
+        for batch in (whole.slice(at, CONVERSATIONS) for whole in batches for at in range(0, whole.num_rows, CONVERSATIONS)):
             known: dict[str, list[int]] = {}
             turns = [[(t["role"], t["text"]) for t in conv] for conv in batch.column("turns").to_pylist()]
             pieces = list(dict.fromkeys(x for conv in turns for role, text in conv for x in (head(role), escape(text))))
