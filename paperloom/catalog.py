@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from .plans import documents, retrieval, scoring, training  # noqa: F401  they register their queries
+from .plans.registry import ORACLES, QUERIES  # noqa: F401
 
 FLAGSHIP = "bm25_search"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
