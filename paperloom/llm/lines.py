@@ -3,8 +3,8 @@
 A line is the set of its lower-cased words. It goes if an earlier line (by doc_id, then place) has a
 Jaccard similarity of 0.8 or more with it, whether or not that line stays itself. Lines with equal sets
 become one class first, so copies are never paired. Words are ordered by rarity; only classes that share
-a word among the rarest ones of each (prefix filter), at places that leave enough words behind (positional
-filter), with sizes that allow the similarity (length filter), are compared word by word.
+three words among the rarest ones of each (prefix filter), at places that leave enough words behind
+(positional filter), with sizes that allow the similarity (length filter), are compared word by word.
 
 Two rounds keep large groups of similar lines linear. First every class meets only the first class of each
 of its lists and the one before it; who matches has its earlier line and asks no more. Then the others
@@ -23,6 +23,8 @@ MIN_WORDS = 5
 #: Word counts are kept in so many hashed cells; they only order words, so cells shared by words cost time, not results.
 CELLS = 1 << 17
 BITS_LINE, BITS_TEXT = 31, 31
+#: Words that two prefixes share at least; each makes the prefixes a word longer and chance meetings rarer. Lines of MIN_WORDS share as many.
+TALLY = 3
 
 
 def spaced(text: Column) -> Column:
@@ -79,8 +81,13 @@ def prepare(docs: DataFrame) -> DataFrame:
 
 
 def fits(n: str, i: str, m: str, j: str) -> Column:
-    """Length and positional filter of a shared word at place i of n words and place j of m words."""
-    return F.expr(f"5 * least({n}, {m}) >= 4 * greatest({n}, {m}) and 1 + least({n} - {i} - 1, {m} - {j} - 1) >= (4 * ({n} + {m}) + 8) div 9")
+    """Length and positional filter of one of the first TALLY shared words, at place i of n words and place j of m words."""
+    return F.expr(f"5 * least({n}, {m}) >= 4 * greatest({n}, {m}) and {TALLY} + least({n} - {i} - 1, {m} - {j} - 1) >= (4 * ({n} + {m}) + 8) div 9")
+
+
+def tallied(meetings: DataFrame) -> DataFrame:
+    """The pairs (a, b) that met in at least TALLY lists."""
+    return meetings.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= TALLY).select("a", "b")
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -99,9 +106,10 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 def later_matches(docs: DataFrame) -> DataFrame:
     """id, mark, line_no of all lines to remove; docs: id, mark, text."""
     bits = rarity(docs)
-    sets = lines_of(docs).select(position().alias("pos"), keys_of(F.col("line"), bits).alias("keys"))
+    # A generator in between: the keys are computed once for all that is derived from them.
+    sets = lines_of(docs).select(position().alias("pos"), F.explode(F.array(keys_of(F.col("line"), bits))).alias("keys"))
     sets = sets.where(F.size("keys") >= MIN_WORDS).select("pos", "keys", F.size("keys").alias("n"))
-    prefix = F.expr("slice(keys, 1, n - (4 * n + 4) div 5 + 1)")
+    prefix = F.expr(f"slice(keys, 1, cast(n - (4 * n + 4) div 5 + {TALLY} as int))")
     lines = common.materialise(sets.select("pos", F.xxhash64("keys").alias("s"), F.xxhash64(F.lit(1), "keys").alias("t"), "n", prefix.alias("prefix")))
     classes = common.materialise(lines.groupBy("s", "t", "n", "prefix").agg(F.min("pos").alias("pos")))
     copies = lines.join(classes.withColumnRenamed("pos", "first"), ["s", "t", "n", "prefix"]).where("pos > first").select("pos")
@@ -111,13 +119,14 @@ def later_matches(docs: DataFrame) -> DataFrame:
     own = F.struct("pos", "n", "i")
     met = entries.select("pos", "n", "i", F.array(F.first(own).over(ordered), F.lag(own).over(ordered)).alias("others"))
     met = met.select("pos", "n", "i", F.explode("others").alias("o")).select("pos", "n", "i", F.col("o.pos").alias("a"), F.col("o.n").alias("m"), F.col("o.i").alias("j"))
-    met = met.where((F.col("a") < F.col("pos")) & fits("n", "i", "m", "j")).select("a", F.col("pos").alias("b")).distinct()
+    met = met.where((F.col("a") < F.col("pos")) & fits("n", "i", "m", "j")).select("a", F.col("pos").alias("b"))
+    met = tallied(met)
     near = common.materialise(verified(common.materialise(met), docs).select("b").distinct())
 
     asking = entries.join(near, entries["pos"] == near["b"], "left_anti").select("key", F.col("pos").alias("b"), "n", "i")
     given = entries.select("key", F.col("pos").alias("a"), F.col("n").alias("m"), F.col("i").alias("j"))
-    rest = asking.join(given, "key").where((F.col("a") < F.col("b")) & fits("n", "i", "m", "j")).select("a", "b").distinct()
-    far = verified(common.materialise(rest), docs).select("b").distinct()
+    rest = asking.join(given, "key").where((F.col("a") < F.col("b")) & fits("n", "i", "m", "j")).select("a", "b")
+    far = verified(common.materialise(tallied(rest)), docs).select("b").distinct()
     gone = copies.union(near).union(far)
     return gone.select(*place("pos"))
 
