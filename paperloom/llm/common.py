@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -28,12 +30,20 @@ def materialise(df: DataFrame) -> DataFrame:
     and a lost executor costs no recomputation of what came before."""
     path = f"{scratch_dir(df.sparkSession)}/paperloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    df.sparkSession._jvm.System.gc()  # Spark's cleaner removes the shuffle files of plans that are gone
+    free(df.sparkSession)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._paperloom_path = path
     return out
 
 
+def free(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files of plans that are gone: it learns of them when the driver's garbage is collected."""
+    gc.collect()
+    for _ in range(2):
+        spark._jvm.System.gc()
+        time.sleep(0.25)
+
+
 def release(df: DataFrame | None) -> None:
     """Delete what materialise() wrote for df; df must not be read afterwards."""
     if path := getattr(df, "_paperloom_path", None):

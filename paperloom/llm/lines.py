@@ -112,7 +112,8 @@ def later_matches(docs: DataFrame) -> DataFrame:
     prefix = F.expr(f"slice(keys, 1, cast(n - (4 * n + 4) div 5 + {TALLY} as int))")
     lines = common.materialise(sets.select("pos", F.xxhash64("keys").alias("s"), F.xxhash64(F.lit(1), "keys").alias("t"), "n", prefix.alias("prefix")))
     classes = common.materialise(lines.groupBy("s", "t", "n", "prefix").agg(F.min("pos").alias("pos")))
-    copies = lines.join(classes.withColumnRenamed("pos", "first"), ["s", "t", "n", "prefix"]).where("pos > first").select("pos")
+    copies = common.materialise(lines.join(classes.withColumnRenamed("pos", "first"), ["s", "t", "n", "prefix"]).where("pos > first").select("pos"))
+    common.release(lines)
 
     entries = classes.select("pos", "n", F.posexplode("prefix").alias("i", "key"))
     ordered = Window.partitionBy("key").orderBy("pos", "i")
@@ -121,12 +122,17 @@ def later_matches(docs: DataFrame) -> DataFrame:
     met = met.select("pos", "n", "i", F.explode("others").alias("o")).select("pos", "n", "i", F.col("o.pos").alias("a"), F.col("o.n").alias("m"), F.col("o.i").alias("j"))
     met = met.where((F.col("a") < F.col("pos")) & fits("n", "i", "m", "j")).select("a", F.col("pos").alias("b"))
     met = tallied(met)
-    near = common.materialise(verified(common.materialise(met), docs).select("b").distinct())
+    met = common.materialise(met)
+    near = common.materialise(verified(met, docs).select("b").distinct())
+    common.release(met)
 
     asking = entries.join(near, entries["pos"] == near["b"], "left_anti").select("key", F.col("pos").alias("b"), "n", "i")
     given = entries.select("key", F.col("pos").alias("a"), F.col("n").alias("m"), F.col("i").alias("j"))
     rest = asking.join(given, "key").where((F.col("a") < F.col("b")) & fits("n", "i", "m", "j")).select("a", "b")
-    far = verified(common.materialise(tallied(rest)), docs).select("b").distinct()
+    rest = common.materialise(tallied(rest))
+    common.release(classes)
+    far = common.materialise(verified(rest, docs).select("b").distinct())
+    common.release(rest)
     gone = copies.union(near).union(far)
     return gone.select(*place("pos"))
 
