@@ -56,14 +56,14 @@ def retrieval_failures(spark, sf_dir):
     return known.select("qid", F.coalesce("first", F.lit(0)).cast("long").alias("first_rank"), label.alias("label"))
 
 
-@query("""select case when grouping(shard) = 1 then 'overall' else 'shard' end as level, shard, count(*) as n, round(avg(hit), 6) as hit_rate from (
+@query("""select case when grouping(shard) = 1 then 'overall' else 'shard' end as level, coalesce(shard, -1) as shard, count(*) as n, round(avg(hit), 6) as hit_rate from (
 select qid, qid % 4 as shard, max((block_id in (select block_id from gold g where g.qid = r.qid))::int)::double as hit from (select distinct qid from gold) join (select * from ranked where rank <= 5) r using (qid) group by qid) group by grouping sets ((), (shard))""", *ALL, GOLD)
 def retrieval_summary_grouping_sets(spark, sf_dir):
     gold = gold_blocks(spark, sf_dir).withColumn("gold", F.lit(1.0))
     hits = searched(spark, sf_dir, 5).join(gold.select("qid").distinct(), "qid", "left_semi").join(gold, ["qid", "block_id"], "left")
     rows = hits.groupBy("qid").agg(F.max(F.coalesce("gold", F.lit(0.0))).alias("hit")).withColumn("shard", F.col("qid") % 4)
     sets = rows.groupingSets([[], ["shard"]], "shard").agg(F.grouping("shard").alias("g"), F.count("*").alias("n"), F.round(F.avg("hit"), 6).alias("hit_rate"))
-    return sets.select(F.when(F.col("g") == 1, "overall").otherwise("shard").alias("level"), "shard", "n", "hit_rate")
+    return sets.select(F.when(F.col("g") == 1, "overall").otherwise("shard").alias("level"), F.coalesce("shard", F.lit(-1)).alias("shard"), "n", "hit_rate")
 
 
 SCOPED = f"""stats as (select doc_id, count(*) as n, avg(len({TOK.format('text')})) as avg_len from blocks group by 1),

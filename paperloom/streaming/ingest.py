@@ -14,7 +14,7 @@ def new_content(stream: DataFrame, key: str, text: str) -> DataFrame:
 
 def window_counts(stream: DataFrame, time: str, by: str, size: str = "1 hour", late: str = "1 day") -> DataFrame:
     """Counts by tumbling window and group; windows older than the watermark leave the state."""
-    counted = stream.withWatermark(time, late).groupBy(F.window(time, size), by).agg(F.count("*").alias("n"))
+    counted = stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(F.window(time, size), by).agg(F.count("*").alias("n"))
     return counted.select(F.col("window.start").alias("start"), by, "n")
 
 

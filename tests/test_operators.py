@@ -99,7 +99,7 @@ def test_streams_match_batches(spark, tmp_path, small):
     events.repartition(3).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     ingest.run_once(ingest.window_counts(stream, "ts", "event_type", late="100 days"), str(tmp_path / "out"), str(tmp_path / "c1"), "complete")
-    want = events.groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
+    want = events.withColumn("ts", F.col("ts").cast("timestamp")).groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
     got = spark.read.parquet(str(tmp_path / "out"))
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
     ingest.run_once(ingest.new_content(stream, "event_id", "event_type"), str(tmp_path / "seen"), str(tmp_path / "c2"))
