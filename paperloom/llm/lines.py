@@ -3,7 +3,7 @@
 A line is the set of its lower-cased words. It goes if an earlier line (by doc_id, then place) has a
 Jaccard similarity of 0.8 or more with it, whether or not that line stays itself. Lines with equal sets
 become one class first, so copies are never paired. Words are ordered by rarity; only classes that share
-three words among the rarest ones of each (prefix filter), at places that leave enough words behind
+two words among the rarest ones of each (prefix filter), at places that leave enough words behind
 (positional filter), with sizes that allow the similarity (length filter), are compared word by word.
 
 Two rounds keep large groups of similar lines linear. First every class meets only the first class of each
@@ -23,8 +23,8 @@ MIN_WORDS = 5
 #: Word counts are kept in so many hashed cells; they only order words, so cells shared by words cost time, not results.
 CELLS = 1 << 17
 BITS_LINE, BITS_TEXT = 31, 31
-#: Words that two prefixes share at least; each makes the prefixes a word longer and chance meetings rarer. Lines of MIN_WORDS share as many.
-TALLY = 3
+#: Words that two prefixes share at least; each makes the prefixes a word longer and chance meetings rarer; similar lines of MIN_WORDS share more.
+TALLY = 2
 
 
 def spaced(text: Column) -> Column:
