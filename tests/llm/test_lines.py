@@ -72,6 +72,13 @@ def test_equal_ids_with_other_texts(spark):
     assert sorted(len(r.removed) for r in got) == [0, 1]
 
 
+def test_lines_of_one_to_four_words(spark):
+    texts = ["Home", "a b c d e", "All rights reserved.\nhome\n\n \t", "ALL RIGHTS\x0breserved.\na b c d", "d\xa0c\u3000b\x0ca\na b x", "a b\nb  a\nx b a\na b y z"]
+    got = lines.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    removed = {r.doc_id: list(r.removed) for r in got.collect()}
+    assert removed == {0: [], 1: [], 2: [1], 3: [0, 1], 4: [0], 5: [1, 2]}
+
+
 def test_plan_has_no_python(spark, small):
     from pyspark.sql import SparkSession
 
