@@ -11,6 +11,7 @@ then get their place by their rank among the pieces of their length; no text or
 from __future__ import annotations
 
 import os
+import re
 import sys
 from bisect import bisect_left, insort
 from collections import Counter
@@ -65,6 +66,33 @@ def encoder(path: str):
     return held[path]
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """Ids of the tokens that the vocabulary's .json file adds to the byte pairs; a .tiktoken file has them beside it."""
+    import json
+
+    with open(path.removesuffix(".tiktoken") + ".json" if path.endswith(".tiktoken") else path, encoding="utf-8") as file:
+        found = json.load(file)["added_tokens"]
+    if odd := [t["content"] for t in found if t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]]:
+        raise ValueError(f"added tokens with matching rules of their own: {odd}")
+    return {t["content"]: t["id"] for t in found}
+
+
+def whole_encoder(path: str):
+    """Encoder with the ids of the vocabulary's tokenizer at its defaults: texts are split at added tokens, the parts encoded alone."""
+    plain, added = encoder(path), added_tokens(path)
+    if not added:
+        return plain
+    where = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")")
+
+    def encode(text: str) -> list[int]:
+        parts = where.split(text)
+        if len(parts) == 1:
+            return plain(text)
+        return [i for k, part in enumerate(parts) for i in ([added[part]] if k % 2 else plain(part))]
+
+    return encode
+
+
 def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of n tokens: all but the first are full."""
     first = n % capacity or min(n, capacity)
@@ -74,12 +102,12 @@ def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
 def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary_path: str | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids (little-endian unsigned 32-bit) of all pieces of docs (doc_id, text).
 
-    A document is its text's ids and a separator; null text counts as empty. Only documents over the capacity are cut.
+    A document is its text's ids, those of added tokens among them, and a separator; null text counts as empty. Only documents over the capacity are cut.
     """
     path = vocabulary_path or vocabulary()
 
     def make():
-        encode = encoder(path)
+        encode = whole_encoder(path)
 
         def cut(batch) -> dict:
             rows = []

@@ -21,6 +21,19 @@ def test_both_encoders_agree(spark, medium):
     assert all([*encode(t), 0] == slow_ids(t) for t in texts)
 
 
+def test_added_tokens_as_the_tokenizer_has_them(spark):
+    texts = ["end of file <|endoftext|> next", "<|endoftext|>", "a<|endoftext|><|endoftext|> b", "<|endoftext|", "<|endoftext|>\n\n x", "plain"]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    machine = Tokenizer.from_file(path)
+    want = [machine.encode(t, add_special_tokens=False).ids for t in texts]
+    assert 50256 in want[0] and len(want[0]) == 6
+    for vocabulary in (packing.vocabulary(), path):
+        encode = packing.whole_encoder(vocabulary)
+        assert [list(encode(t)) for t in texts] == want
+    got = packing.pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in got} == {i: [*ids, 0] for i, ids in enumerate(want)}
+
+
 def check_plan(histogram, capacity):
     plan = packing.solve(histogram, capacity)
     held = {}
