@@ -74,8 +74,7 @@ scores as (select qid, p.doc_id, block_id, round(sum(qtf * ln(1 + (n - df + 0.5)
 
 @query("""select qid, doc_id, block_id, score, rank from (select *, row_number() over (partition by qid, doc_id order by score desc, block_id) as rank from scores where qid < 8) where rank <= 1""", X.BLOCKS, X.QUESTIONS, TOKENS, POSTINGS, ASKED, SCOPED)
 def bm25_doc_scoped(spark, sf_dir):
-    asked = X.questions(spark, sf_dir).where("qid < 8")
-    return R.top(R.bm25(X.blocks(spark, sf_dir), asked, scope=("doc_id",)), 1, by=("qid", "doc_id")).select("qid", "doc_id", "block_id", "score", "rank")
+    return R.top(R.bm25(X.blocks(spark, sf_dir), X.questions(spark, sf_dir), scope=("doc_id",)), 1, by=("qid", "doc_id")).select("qid", "doc_id", "block_id", "score", "rank")
 
 
 @query("select term, df, round(ln(1 + ((select count(*) from blocks) - df + 0.5) / (df + 0.5)), 6) as idf from (select term, count(*) as df from postings group by 1)", X.BLOCKS, TOKENS, POSTINGS)
