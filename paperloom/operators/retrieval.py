@@ -11,6 +11,8 @@ K1, B = 1.5, 0.75
 RRF_K = 60
 #: Sides up to this size are broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 100_000
+#: Query vectors that are held against other vectors at once.
+QUERY_BLOCK = 512
 STOPWORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "form", "from", "full", "in", "is", "of", "on", "or", "the", "to", "what", "which", "who", "whose")
 
 
@@ -62,8 +64,13 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def dense_top(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """qid, vec_id, score, rank of the nearest vectors (vec_id, embedding) by cosine; queries (qid, query) are a bounded set held against all rows."""
-    pairs = vectors.crossJoin(F.broadcast(queries)).where(F.col("vec_id") != F.col("qid"))
+    """qid, vec_id, score, rank of the nearest vectors (vec_id, embedding) by cosine to each of queries (qid, query).
+
+    Up to QUERY_BLOCK queries are broadcast; more are dealt into blocks of about that many, each a side of its own tasks.
+    """
+    n = queries.count()
+    asked = F.broadcast(queries) if n <= QUERY_BLOCK else queries.repartition(-(-n // QUERY_BLOCK)).hint("shuffle_replicate_nl")
+    pairs = vectors.crossJoin(asked).where(F.col("vec_id") != F.col("qid"))
     return top(pairs.select("qid", "vec_id", F.round(cosine(F.col("embedding"), F.col("query")), 6).alias("score")), k, "vec_id")
 
 

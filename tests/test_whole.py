@@ -4,7 +4,9 @@ import math
 import re
 from collections import Counter
 
+import pytest
 from paperloom import catalog
+from paperloom.operators import retrieval
 
 
 def tokens(text):
@@ -38,3 +40,23 @@ def test_scoped_search_asks_every_question(spark, tmp_path):
     got = {(r.qid, r.doc_id): (-r.score, r.block_id) for r in catalog.QUERIES["bm25_doc_scoped"](spark, path).collect()}
     assert {q for q, _ in want} == set(range(30)) and got.keys() == want.keys()
     assert all(got[k][1] == want[k][1] and abs(got[k][0] - want[k][0]) < 2e-6 for k in want)
+
+
+@pytest.mark.parametrize("block", [512, 2])
+def test_dense_search_asks_every_fiftieth_row(spark, tmp_path, monkeypatch, block):
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", block)
+    vectors = {i: [math.sin(i * k + k) for k in range(1, 6)] for i in range(260)}
+    path = write(spark, tmp_path, embeddings=(list(vectors.items()), "vec_id long, embedding array<double>"))
+
+    def cosine(a, b):
+        dot = lambda x, y: sum(p * q for p, q in zip(x, y, strict=True))
+        return dot(a, b) / math.sqrt(dot(a, a) * dot(b, b))
+
+    got = {}
+    for r in catalog.QUERIES["dense_cosine_topk"](spark, path).collect():
+        got.setdefault(r.qid, {})[r.rank] = r
+    assert set(got) == set(range(0, 260, 50))
+    for qid, ranks in got.items():
+        best = sorted((round(cosine(v, vectors[qid]), 6) for i, v in vectors.items() if i != qid), reverse=True)[:10]
+        assert sorted(ranks) == list(range(1, 11))
+        assert all(abs(ranks[k].score - score) < 2e-6 and abs(cosine(vectors[ranks[k].vec_id], vectors[qid]) - score) < 2e-6 for k, score in enumerate(best, 1))
