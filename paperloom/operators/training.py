@@ -80,13 +80,26 @@ def messages(turns: DataFrame, key: str) -> DataFrame:
 
 
 def decoys(boards: DataFrame, key: str, order: str, answer: str, text: str, reach: int = 16) -> DataFrame:
-    """For each row the nearest later row on the ring whose text doesn't hold the row's answer, at most `reach` on; null beyond.
+    """For each row the nearest later row on the ring whose text doesn't hold the row's answer; null if no row of the ring is one.
 
     Rows meet at equal places of the ring after shifts by 1 .. reach: an equi-join with that many rows each.
+    Those still without a decoy go on alone, over twice as many shifts, until the ring is used up.
     """
-    total = boards.agg(F.count("*").alias("total"))
-    placed = boards.withColumn("at", F.row_number().over(Window.orderBy(order, key)) - 1).crossJoin(F.broadcast(total))
-    asked = placed.select(key, answer, F.explode(F.sequence(F.lit(1), F.lit(reach))).alias("shift"), "at", "total").withColumn("at", F.pmod(F.col("at") + F.col("shift"), "total"))
+    total = boards.count()
+    placed = boards.withColumn("at", F.row_number().over(Window.orderBy(order, key)) - 1).persist()
     other = placed.select("at", F.col(key).alias("decoy"), F.col(text).alias("other"))
-    fit = asked.join(other, "at").where((F.col("decoy") != F.col(key)) & ~F.contains(F.lower("other"), F.lower(answer)))
-    return boards.select(key).join(fit.groupBy(key).agg(F.min_by("decoy", "shift").alias("decoy")), key, "left")
+    # A null or empty answer is lacked by no text.
+    waiting = placed.where(F.col(answer) != "").select(key, answer, "at")
+    found, low = [], 1
+    while low < total:
+        high = min(low + reach, total) - 1
+        asked = waiting.select(key, answer, F.explode(F.sequence(F.lit(low), F.lit(high))).alias("shift"), "at").withColumn("at", F.pmod(F.col("at") + F.col("shift"), F.lit(total)))
+        fit = asked.join(other, "at").where((F.col("decoy") != F.col(key)) & ~F.contains(F.lower("other"), F.lower(answer)))
+        found.append(fit.groupBy(key).agg(F.min_by("decoy", "shift").alias("decoy")).persist())
+        waiting = waiting.join(found[-1], key, "left_anti").persist()
+        if waiting.isEmpty():
+            break
+        low, reach = high + 1, 2 * reach
+    if not found:
+        return boards.select(key, F.lit(None).cast(boards.schema[key].dataType).alias("decoy"))
+    return boards.select(key).join(reduce(DataFrame.union, found), key, "left")

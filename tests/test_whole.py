@@ -6,7 +6,7 @@ from collections import Counter
 
 import pytest
 from paperloom import catalog
-from paperloom.operators import retrieval
+from paperloom.operators import retrieval, training
 
 
 def tokens(text):
@@ -60,3 +60,16 @@ def test_dense_search_asks_every_fiftieth_row(spark, tmp_path, monkeypatch, bloc
         best = sorted((round(cosine(v, vectors[qid]), 6) for i, v in vectors.items() if i != qid), reverse=True)[:10]
         assert sorted(ranks) == list(range(1, 11))
         assert all(abs(ranks[k].score - score) < 2e-6 and abs(cosine(vectors[ranks[k].vec_id], vectors[qid]) - score) < 2e-6 for k, score in enumerate(best, 1))
+
+
+def test_decoys_search_the_whole_ring(spark):
+    texts = {i: "the cat" for i in range(150)} | {7: "a dog", 90: "one the", 91: None}
+    answers = {i: ("the", "cat", "dog", "t", "", None)[i % 6] for i in texts} | {100: "a"}
+    boards = spark.createDataFrame([(i, answers[i], texts[i]) for i in texts], "k long, answer string, text string")
+    want = {}
+    for i, answer in answers.items():
+        ring = [(i + s) % 150 for s in range(1, 150)]
+        want[i] = None if answer is None else next((j for j in ring if texts[j] is not None and answer not in texts[j]), None)
+    assert want[12] == 7 and want[100] == 90  # 145 and 140 places on
+    got = training.decoys(boards, "k", "k", "answer", "text").collect()
+    assert len(got) == 150 and {r.k: r.decoy for r in got} == want
