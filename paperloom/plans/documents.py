@@ -45,7 +45,7 @@ def smart_truncate(spark, sf_dir):
 
 @query(rf"select page_id, {FLAT.format('''regexp_replace(html, '<[^>]+>', ' ', 'g')''')} as plain, replace(replace(replace(left(html, 80), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') as escaped from pages")
 def strip_html(spark, sf_dir):
-    return X.table(spark, sf_dir, "pages").select("page_id", T.strip_html(F.col("html")).alias("plain"), T.escape_html(F.substring("html", 1, 80)).alias("escaped"))
+    return X.table(spark, sf_dir, "pages").select("page_id", T.strip_html(F.col("html")).alias("plain"), T.escape_html(F.col("html")).alias("escaped"))
 
 
 @query(f"""select qid, case when length(t) <= 300 then t else trim(substr(t, l + 1, r - l), ' ,;:-') end as part from (select qid, t, case when short and l0 > 0 and r0 = length(t) then greatest(0, length(t) - 300) else l0 end as l, case when short and l0 = 0 then least(300, length(t)) else r0 end as r from (

@@ -73,3 +73,10 @@ def test_decoys_search_the_whole_ring(spark):
     assert want[12] == 7 and want[100] == 90  # 145 and 140 places on
     got = training.decoys(boards, "k", "k", "answer", "text").collect()
     assert len(got) == 150 and {r.k: r.decoy for r in got} == want
+
+
+def test_whole_pages_are_escaped(spark, tmp_path):
+    html = "<p>x & y</p>" * 40
+    path = write(spark, tmp_path, pages=([(1, html)], "page_id long, html string"))
+    got = catalog.QUERIES["strip_html"](spark, path).first()
+    assert got.escaped == html.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
