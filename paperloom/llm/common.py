@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,25 +24,29 @@ def scratch_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir")
 
 
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the queries that run inside go when each query ends."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write df as Parquet to the shared scratch folder and read it back: the lineage ends there,
     and a lost executor costs no recomputation of what came before."""
     path = f"{scratch_dir(df.sparkSession)}/paperloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    free(df.sparkSession)
+    with tidy(df.sparkSession):
+        df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._paperloom_path = path
     return out
 
 
-def free(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove the shuffle files of plans that are gone: it learns of them when the driver's garbage is collected."""
-    gc.collect()
-    for _ in range(2):
-        spark._jvm.System.gc()
-        time.sleep(0.25)
-
-
 def release(df: DataFrame | None) -> None:
     """Delete what materialise() wrote for df; df must not be read afterwards."""
     if path := getattr(df, "_paperloom_path", None):
@@ -52,6 +55,11 @@ def release(df: DataFrame | None) -> None:
         where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def signed(bits: int) -> int:
+    """64 bits as a signed number."""
+    return int.from_bytes(bits.to_bytes(8, "little"), "little", signed=True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -2,82 +2,96 @@
 
 A line is the set of its lower-cased words. It goes if an earlier line (by doc_id, then place) has a
 Jaccard similarity of 0.8 or more with it, whether or not that line stays itself. Lines with equal sets
-become one class first, so copies are never paired. Words are ordered by rarity; only classes that share
-two words among the rarest ones of each (prefix filter), at places that leave enough words behind
-(positional filter), with sizes that allow the similarity (length filter), are compared word by word.
-
-Two rounds keep large groups of similar lines linear. First every class meets only the first class of each
-of its lists and the one before it; who matches has its earlier line and asks no more. Then the others
-meet all earlier classes of their lists.
+become one class first, so copies are never paired.
+
+Words are ordered by rarity. The first word that two similar classes share stands among the first fifth
+of each (prefix filter), at places that leave enough words behind (positional filter), and their sizes
+allow the similarity (length filter). So a class stands in the list of every word of its prefix; words so
+frequent that their lists would be long are taken two at a time, as similar classes that share no rarer
+word share two of them. Each class also carries 128 parities of its words: two sets differ in at least as
+many words as parities, which settles nearly all meetings of unlike lines without their words.
+
+A semi-join of the lists with themselves, which makes no pairs, finds the classes that may have a match.
+Only their words are read again. Two rounds keep large groups of similar lines linear: first every
+class meets the first class of its part of a list and the one before it; who matches has its earlier
+line and asks no more. Then the others meet all earlier classes of their lists.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
 
-#: Lines without a word are never judged.
-MIN_WORDS = 1
 #: Shorter lines reach 0.8 only where their sets are equal, which the classes tell; these are paired.
 PAIRED_WORDS = 4
-#: White space inside a line, besides the space itself: what str.split() splits at.
-SPACES = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Word counts are kept in so many hashed cells; they only order words, so cells shared by words cost time, not results.
-CELLS = 1 << 17
+#: White space inside a line: what str.split() splits at, but for the line end. That above ASCII is turned into spaces first.
+SPACES = r"\x20\t\x0B\f\r\x1C-\x1F"
+WIDE_SPACES = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Word counts are kept in two to so many hashed cells; they only order words, so cells shared by words cost time, not results.
+CELL_BITS = 18
+#: A number of a word is its rarity class (bits of its cell's count) over this many bits of its hash.
+HASH_BITS = 57
+#: Words of cells with 2 ** 16 or more are listed two at a time: no list of a single word is longer than that.
+HOT_CLASS = 17
 BITS_LINE, BITS_TEXT = 31, 31
-#: Words that two prefixes share at least; each makes the prefixes a word longer and chance meetings rarer; similar lines of PAIRED_WORDS share more.
-TALLY = 2
+#: Parts of a list in the first round.
+SALTS = 64
 
 
 def spaced(text: Column) -> Column:
-    """Lower case, with all white space but line ends as spaces."""
-    return reduce(lambda plain, space: F.replace(plain, F.lit(space), F.lit(" ")), SPACES, F.lower(text))
+    """Lower case, with white space above ASCII as spaces."""
+    lower = F.lower(text)
+    return F.when(F.octet_length(text) == F.length(text), lower).otherwise(F.translate(lower, WIDE_SPACES, " " * len(WIDE_SPACES)))
 
 
-def words_of(line: Column) -> Column:
-    """The distinct words of a line: lower case, split at white space."""
-    return F.array_distinct(F.array_remove(F.split(spaced(line), " "), ""))
+def lines_of(docs: DataFrame) -> DataFrame:
+    """id, mark (31 bits of a hash of the text: tells rows with the same id apart), line number, line (as spaced() has it)."""
+    return docs.select("id", "mark", F.posexplode(F.split(spaced(F.col("text")), "\n")).alias("line_no", "line"))
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """id, mark (31 bits of a hash of the text: tells rows with the same id apart), line number, line."""
-    cut = docs.select("id", "mark", F.split("text", "\n").alias("lines"))
-    return cut.select("id", "mark", F.posexplode("lines").alias("line_no", "line"))
+def literal(values: Iterable[int], kind: str = "bigint") -> Column:
+    """A literal array."""
+    return F.expr(f"cast(split('{','.join(map(str, values))}', ',') as array<{kind}>)")
 
 
 def rarity(docs: DataFrame) -> Column:
-    """For each cell the number of bits of its word count over all texts, shifted to the top of a long, as a literal array."""
-    words = docs.select(F.explode(F.split(F.replace(spaced(F.col("text")), F.lit("\n"), F.lit(" ")), " ")).alias("word"))
-    counts = words.groupBy(F.xxhash64("word").bitwiseAND(F.lit(CELLS - 1).cast("long")).alias("cell")).agg(F.count("*").alias("n"))
-    rows = counts.select("cell", F.length(F.bin("n")).alias("bits")).collect()  # at most CELLS rows
-    found = {r["cell"]: r["bits"] << 57 for r in rows}
-    return F.expr(f"cast(split('{','.join(str(found.get(i, 0)) for i in range(CELLS))}', ',') as array<bigint>)")
+    """For each cell the number of bits of its word count over all texts, as a literal array (of bytes, which stay in the cores' caches)."""
+    words = docs.select(F.explode(F.split(spaced(F.col("text")), rf"[{SPACES}\n]+")).alias("word"))
+    counts = words.groupBy(F.shiftrightunsigned(F.xxhash64("word"), 64 - CELL_BITS).alias("cell")).agg(F.count("*").alias("n"))
+    with common.tidy(docs.sparkSession):
+        rows = counts.select("cell", F.length(F.bin("n")).alias("bits")).collect()  # at most 2 ** CELL_BITS rows
+    found = dict(rows)
+    return literal((found.get(i, 0) for i in range(1 << CELL_BITS)), "tinyint")
 
 
 def keys_of(line: Column, bits: Column) -> Column:
-    """The distinct words of a line as numbers, rarest first: the rarity class over 57 bits of the word's hash."""
-    hashes = F.array_distinct(F.transform(F.split(spaced(line), " "), lambda w: F.xxhash64(w)))
+    """The distinct words of a line (as spaced() has it) as numbers, rarest first."""
+    hashes = F.array_distinct(F.transform(F.split(line, f"[{SPACES}]+"), lambda w: F.xxhash64(w)))
     hashes = F.array_remove(hashes, F.xxhash64(F.lit("")))
-    return F.sort_array(F.transform(hashes, lambda h: F.get(bits, h.bitwiseAND(F.lit(CELLS - 1).cast("long")).cast("int")) + F.shiftrightunsigned(h, 7)))
+    classes = literal(i << HASH_BITS for i in range(1 << 63 - HASH_BITS))
+    class_of = lambda h: F.coalesce(classes[bits[F.shiftrightunsigned(h, 64 - CELL_BITS)]], F.expr("0L"))
+    return F.sort_array(F.transform(hashes, lambda h: class_of(h).bitwiseOR(h.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))))
+
 
+def parities(keys: Column, half: int) -> Column:
+    """64 parities of the words with this value in bit 6 of their number: which bits an odd number of words have."""
+    ones = literal(common.signed(1 << j % 64) if j // 64 == half else 0 for j in range(128))
+    return F.aggregate(keys, F.expr("0L"), lambda seen, k: seen.bitwiseXOR(ones[k.bitwiseAND(F.expr("127L")).cast("int")]))
 
-def position(id_: str = "id", mark: str = "mark", line_no: str = "line_no") -> Column:
+
+def position(id_: str = "id", at: str = "at") -> Column:
     """One number that orders lines by id, mark and line number."""
-    return F.expr(f"cast({id_} as decimal(19,0)) * cast({1 << BITS_LINE + BITS_TEXT} as decimal(19,0)) + cast({mark} * {1 << BITS_LINE} + {line_no} as decimal(19,0))").cast("decimal(38,0)")
+    return F.expr(f"cast({id_} as decimal(19,0)) * cast({1 << BITS_LINE + BITS_TEXT} as decimal(19,0)) + cast({at} as decimal(19,0))").cast("decimal(38,0)")
 
 
 def place(pos: str) -> list[Column]:
-    """id, mark, line_no of a position."""
+    """id and `at` (mark and line number) of a position."""
     rest = f"cast(pmod({pos}, cast({1 << BITS_LINE + BITS_TEXT} as decimal(38,0))) as bigint)"
-    return [
-        F.expr(f"({pos} - {rest}) div cast({1 << BITS_LINE + BITS_TEXT} as decimal(38,0))").alias("id"),
-        F.expr(f"{rest} div {1 << BITS_LINE}").alias("mark"),
-        F.expr(f"cast({rest} % {1 << BITS_LINE} as int)").alias("line_no"),
-    ]
+    return [F.expr(f"cast(({pos} - {rest}) div cast({1 << BITS_LINE + BITS_TEXT} as decimal(38,0)) as bigint)").alias("id"), F.expr(rest).alias("at")]
 
 
 def prepare(docs: DataFrame) -> DataFrame:
@@ -86,61 +100,92 @@ def prepare(docs: DataFrame) -> DataFrame:
     return docs.select(id_.alias("id"), F.shiftrightunsigned(F.xxhash64("text"), 33).alias("mark"), F.col("text").cast("string").alias("text"))
 
 
-def fits(n: str, i: str, m: str, j: str) -> Column:
-    """Length and positional filter of one of the first TALLY shared words, at place i of n words and place j of m words."""
-    return F.expr(f"5 * least({n}, {m}) >= 4 * greatest({n}, {m}) and {TALLY} + least({n} - {i} - 1, {m} - {j} - 1) >= (4 * ({n} + {m}) + 8) div 9")
+def needed(n: str, m: str) -> str:
+    """Words that sets of n and m words share at least if they are similar enough."""
+    return f"((4 * ({n} + {m}) + 8) div 9)"
+
+
+def fits() -> Column:
+    """Length filter, positional filter of the first shared word (place i of n words, place j of m), and the parities."""
+    return F.expr(
+        f"5 * least(n, m) >= 4 * greatest(n, m) and least(n - i, m - j) >= {needed('n', 'm')} "
+        f"and bit_count(p ^ r) + bit_count(q ^ s) <= n + m - 2 * {needed('n', 'm')}"
+    )
+
 
+def entries_of(classes: DataFrame) -> DataFrame:
+    """The lists' entries: key, id, at, n, p, q and the place i of the key's (first) word; classes: pos, n, p, q, prefix.
+
+    The prefix is one word longer than the first shared word needs, for the second word of two.
+    """
+    placed = classes.where(F.col("n") >= PAIRED_WORDS).select(*place("pos"), "n", "p", "q", "prefix")
+    hot = F.lit(HOT_CLASS << HASH_BITS)
+    single = placed.select("id", "at", "n", "p", "q", F.posexplode(F.slice("prefix", F.lit(1), F.size("prefix") - 1)).alias("i", "key")).where(F.col("key") < hot)
+    several = placed.select("id", "at", "n", "p", "q", "prefix", F.posexplode("prefix").alias("i", "first")).where((F.col("first") >= hot) & (F.col("i") < F.size("prefix") - 1))
+    double = several.select("id", "at", "n", "p", "q", "i", "first", F.explode(F.expr("slice(prefix, i + 2, size(prefix))")).alias("second"))
+    own = ["id", "at", "n", "p", "q", "i"]
+    return single.select("key", *own).union(double.select(F.xxhash64("first", "second").alias("key"), *own))
 
-def tallied(meetings: DataFrame) -> DataFrame:
-    """The pairs (a, b) that met in at least TALLY lists."""
-    return meetings.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= TALLY).select("a", "b")
 
+def others(entries: DataFrame) -> DataFrame:
+    return entries.toDF("key", "id2", "at2", "m", "r", "s", "j")
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of positions whose lines are similar enough; their lines are read from docs."""
-    wanted = pairs.select("a").union(pairs.select("b")).distinct().toDF("pos").select(*place("pos"))
-    wanted = wanted.groupBy("id", "mark").agg(F.collect_set("line_no").alias("wanted"))
-    cut = docs.select("id", "mark", F.split("text", "\n").alias("lines")).join(wanted, ["id", "mark"])
+
+def sets_of(wanted: DataFrame, docs: DataFrame, bits: Column) -> DataFrame:
+    """id, at and keys of the wanted lines (id, at), read from docs."""
+    mark, line_no = F.shiftright("at", BITS_LINE), F.col("at").bitwiseAND(F.lit((1 << BITS_LINE) - 1).cast("long")).cast("int")
+    wanted = wanted.groupBy("id", mark.alias("mark")).agg(F.collect_set(line_no).alias("wanted"))
+    cut = docs.join(wanted, ["id", "mark"]).select("id", "mark", F.split("text", "\n").alias("lines"), "wanted")
     # Repeated rows (equal id and text) give equal lines: one of each is enough.
-    picked = cut.select("id", "mark", "lines", F.explode("wanted").alias("line_no")).select(position().alias("pos"), F.expr("lines[line_no]").alias("line"))
-    sets = picked.select("pos", words_of(F.col("line")).alias("words")).dropDuplicates(["pos"])
-    a, b = sets.toDF("a", "x"), sets.toDF("b", "y")
-    both = pairs.join(a, "a").join(b, "b").select("a", "b", F.size("x").alias("n"), F.size("y").alias("m"), F.size(F.array_intersect("x", "y")).alias("shared"))
-    return both.where("9 * shared >= 4 * (n + m)").select("a", "b")
+    picked = cut.select("id", "mark", "lines", F.explode("wanted").alias("line_no")).select("id", at().alias("at"), F.expr("lines[line_no]").alias("line"))
+    return picked.dropDuplicates(["id", "at"]).select("id", "at", keys_of(spaced(F.col("line")), bits).alias("keys"))
+
+
+def at(mark: str = "mark", line_no: str = "line_no") -> Column:
+    return F.expr(f"{mark} * {1 << BITS_LINE} + {line_no}")
+
+
+def matched(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """id, at of the later lines of those pairs (id, at, id2, at2) whose words are similar enough."""
+    both = pairs.distinct().join(sets.withColumnRenamed("keys", "x"), ["id", "at"]).join(sets.toDF("id2", "at2", "y"), ["id2", "at2"])
+    shared = both.select("id", "at", F.size("x").alias("n"), F.size("y").alias("m"), F.size(F.array_intersect("x", "y")).alias("shared"))
+    return shared.where("9 * shared >= 4 * (n + m)").select("id", "at").distinct()
 
 
 def later_matches(docs: DataFrame) -> DataFrame:
-    """id, mark, line_no of all lines to remove; docs: id, mark, text."""
+    """id, at of all lines to remove; docs: id, mark, text."""
     bits = rarity(docs)
     # A generator in between: the keys are computed once for all that is derived from them.
-    sets = lines_of(docs).select(position().alias("pos"), F.explode(F.array(keys_of(F.col("line"), bits))).alias("keys"))
-    sets = sets.where(F.size("keys") >= MIN_WORDS).select("pos", "keys", F.size("keys").alias("n"))
-    prefix = F.expr(f"slice(keys, 1, cast(n - (4 * n + 4) div 5 + {TALLY} as int))")
-    lines = common.materialise(sets.select("pos", F.xxhash64("keys").alias("s"), F.xxhash64(F.lit(1), "keys").alias("t"), "n", prefix.alias("prefix")))
-    classes = common.materialise(lines.groupBy("s", "t", "n", "prefix").agg(F.min("pos").alias("pos")))
-    copies = common.materialise(lines.join(classes.withColumnRenamed("pos", "first"), ["s", "t", "n", "prefix"]).where("pos > first").select("pos"))
+    sets = lines_of(docs).select("id", at().alias("at"), F.explode(F.array(keys_of(F.col("line"), bits))).alias("keys")).where(F.size("keys") > 0)
+    prefix = F.expr("slice(keys, 1, cast(size(keys) - (4 * size(keys) + 4) div 5 + 2 as int))")
+    marks = [F.xxhash64("keys").alias("h1"), F.xxhash64(F.lit(1), "keys").alias("h2"), F.size("keys").alias("n"), parities(F.col("keys"), 0).alias("p"), parities(F.col("keys"), 1).alias("q")]
+    lines = common.materialise(sets.select(position().alias("pos"), *marks, prefix.alias("prefix")))
+
+    repeated = lines.groupBy("h1", "h2").agg(F.min("pos").alias("first"), F.count("*").alias("copies")).where("copies > 1")
+    copies = common.materialise(lines.select("pos", "h1", "h2").join(repeated, ["h1", "h2"]).where("pos > first").select(*place("pos")))
+
+    classes = lines.groupBy("h1", "h2", "n", "p", "q", "prefix").agg(F.min("pos").alias("pos"))
+    entries = entries_of(classes)
+    other = others(entries)
+    apart = (F.col("id") != F.col("id2")) | (F.col("at") != F.col("at2"))
+    open_ = common.materialise(entries.join(other, (entries["key"] == other["key"]) & apart & fits(), "left_semi"))
     common.release(lines)
-
-    entries = classes.where(F.col("n") >= PAIRED_WORDS).select("pos", "n", F.posexplode("prefix").alias("i", "key"))
-    ordered = Window.partitionBy("key").orderBy("pos", "i")
-    own = F.struct("pos", "n", "i")
-    met = entries.select("pos", "n", "i", F.array(F.first(own).over(ordered), F.lag(own).over(ordered)).alias("others"))
-    met = met.select("pos", "n", "i", F.explode("others").alias("o")).select("pos", "n", "i", F.col("o.pos").alias("a"), F.col("o.n").alias("m"), F.col("o.i").alias("j"))
-    met = met.where((F.col("a") < F.col("pos")) & fits("n", "i", "m", "j")).select("a", F.col("pos").alias("b"))
-    met = tallied(met)
-    met = common.materialise(met)
-    near = common.materialise(verified(met, docs).select("b").distinct())
-    common.release(met)
-
-    asking = entries.join(near, entries["pos"] == near["b"], "left_anti").select("key", F.col("pos").alias("b"), "n", "i")
-    given = entries.select("key", F.col("pos").alias("a"), F.col("n").alias("m"), F.col("i").alias("j"))
-    rest = asking.join(given, "key").where((F.col("a") < F.col("b")) & fits("n", "i", "m", "j")).select("a", "b")
-    rest = common.materialise(tallied(rest))
-    common.release(classes)
-    far = common.materialise(verified(rest, docs).select("b").distinct())
-    common.release(rest)
-    gone = copies.union(near).union(far)
-    return gone.select(*place("pos"))
+    words = common.materialise(sets_of(open_.select("id", "at").distinct(), docs, bits))
+
+    ordered = Window.partitionBy("key", F.pmod(F.xxhash64("id", "at"), F.lit(SALTS))).orderBy("id", "at", "i")
+    own = F.struct("id", "at", "n", "p", "q", "i")
+    met = open_.select("id", "at", "n", "p", "q", "i", F.array(F.first(own).over(ordered), F.lag(own).over(ordered)).alias("others"))
+    met = met.select("id", "at", "n", "p", "q", "i", F.explode(F.array_distinct("others")).alias("o"))
+    met = met.select("id", "at", "n", "p", "q", "i", *[F.col(f"o.{a}").alias(b) for a, b in zip(("id", "at", "n", "p", "q", "i"), ("id2", "at2", "m", "r", "s", "j"), strict=True)])
+    earlier = (F.col("id2") < F.col("id")) | ((F.col("id2") == F.col("id")) & (F.col("at2") < F.col("at")))
+    near = common.materialise(matched(met.where(earlier & fits()).select("id", "at", "id2", "at2"), words))
+
+    asking = open_.join(near, ["id", "at"], "left_anti").select("key", "id", "at", "n", "p", "q", "i")
+    rest = asking.join(others(open_), "key").where(earlier & fits()).select("id", "at", "id2", "at2")
+    far = common.materialise(matched(rest, words))
+    common.release(open_)
+    common.release(words)
+    return copies.union(near).union(far).select("id", F.shiftright("at", BITS_LINE).alias("mark"), F.col("at").bitwiseAND(F.lit((1 << BITS_LINE) - 1).cast("long")).cast("int").alias("line_no"))
 
 
 def dedup(docs: DataFrame) -> DataFrame:

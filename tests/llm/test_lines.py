@@ -11,7 +11,7 @@ def slow(rows):
         gone[(doc_id, text)] = set()
         for k, line in enumerate(text.split("\n")):
             words = {w for w in "".join(" " if c in "\t\r" else c for c in line.lower()).split(" ") if w}
-            if len(words) < lines.MIN_WORDS:
+            if not words:
                 continue
             if any(5 * len(words & other) >= 4 * len(words | other) for other in seen):
                 gone[(doc_id, text)].add(k)
@@ -66,6 +66,12 @@ def test_large_group_of_similar_lines(spark):
     assert check(spark.createDataFrame(rows, "doc_id long, text string")) == 399
 
 
+def test_words_listed_two_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(lines, "HOT_CLASS", 4)  # cells with eight words or more
+    test_random_lines_against_all_pairs(spark)
+    test_large_group_of_similar_lines(spark)
+
+
 def test_equal_ids_with_other_texts(spark):
     a, b = "one two three four five six", "one two three four five six seven"
     got = lines.dedup(spark.createDataFrame([(1, a), (1, b)], "doc_id long, text string")).collect()
