@@ -85,10 +85,10 @@ def test_lines_of_one_to_four_words(spark):
     assert removed == {0: [], 1: [], 2: [1], 3: [0, 1], 4: [0], 5: [1, 2]}
 
 
-def test_plan_has_no_python(spark, small):
-    from pyspark.sql import SparkSession
+def test_long_lists_pass_whole(spark, monkeypatch):
+    monkeypatch.setattr(lines, "LONG_LIST", 3)
+    test_random_lines_against_all_pairs(spark)
+
 
-    assert isinstance(spark, SparkSession)
-    plan = lines.op10_line_dedup(spark, small)._jdf.queryExecution().toString()
-    assert "Python" not in plan and "Arrow" not in plan
+def test_table(spark, small):
     check(spark.read.parquet(f"{small}/documents.parquet"))
