@@ -21,7 +21,7 @@ Texts are cut into words in Arrow batches: column functions alone need more than
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -114,8 +114,12 @@ def hashed(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return words, np.searchsorted(np.flatnonzero(BREAKS[data]), starts)
 
 
-def rarity(docs: DataFrame) -> np.ndarray:
-    """For each cell the number of bits of its word count over all texts."""
+def word_hashes(texts: list[str | None]) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.uint64), *(hashed([piece for _, _, piece in portion])[0] for portion in portions(texts))])
+
+
+def rarity(docs: DataFrame, hashes: Callable[[list[str | None]], np.ndarray] = word_hashes) -> np.ndarray:
+    """For each cell the number of bits of its count over all texts: of words, or of what else hashes() finds."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow as pa
@@ -123,8 +127,8 @@ def rarity(docs: DataFrame) -> np.ndarray:
         counts = np.zeros(1 << CELL_BITS, np.int64)
         held, size = [], 0
         for batch in batches:
-            for portion in portions(batch.column("text").to_pylist()):
-                held.append((hashed([piece for _, _, piece in portion])[0] >> np.uint64(64 - CELL_BITS)).astype(np.int64))
+            for start in range(0, batch.num_rows, 256):
+                held.append((hashes(batch.column("text").slice(start, 256).to_pylist()) >> np.uint64(64 - CELL_BITS)).astype(np.int64))
                 size += len(held[-1])
                 if size >= len(counts):
                     counts += np.bincount(np.concatenate(held), minlength=len(counts))
