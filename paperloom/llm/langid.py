@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -187,11 +188,29 @@ def train_on_documents(docs: DataFrame) -> Model:
 
 
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs (doc_id, text, ...) with a language; those predicted und go. All columns stay, no shuffle.
+    """The rows of docs (doc_id, text, lang, ...) with a language, and that language as their lang; those predicted und go.
 
-    The prediction runs inside one pass over whole rows, so nothing is joined back to the texts.
+    A model that has learned no language rejects only what has no letter, and leaves lang as it is. All columns stay, repeated rows
+    all stay or all go, an empty table stays empty; no shuffle: the prediction runs inside one pass over whole rows.
     """
-    return common.keep_rows(docs, lambda: lambda texts: [bool(m) for m in infer(texts, model)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow as pa
+
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1024):
+                part = batch.slice(start, 1024)
+                texts = part.column("text").to_pylist()
+                if not model.languages:
+                    yield part.filter(pa.array([has_letter(t) for t in texts], pa.bool_()))
+                    continue
+                found = [m[0][0] if m else None for m in infer(texts, model)]
+                if "lang" in part.schema.names:
+                    at = part.schema.get_field_index("lang")
+                    part = part.set_column(at, part.schema.field(at), pa.array(found, part.schema.field(at).type))
+                yield part.filter(pa.array([x is not None for x in found], pa.bool_()))
+
+    return docs.mapInArrow(run, schema=docs.schema)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,8 +3,9 @@
 Documents become pieces of at most CAPACITY tokens. The histogram of piece lengths has at most CAPACITY
 entries however many documents there are, so the program is solved on the driver: a configuration is a
 multiset of lengths that fits one sequence; multiplicative weights price the lengths (what is covered
-less is worth more), a knapsack dynamic programme finds the best configuration for those prices, and each
-step is rounded down to whole sequences. What no full configuration covers is packed best fit. Pieces
+less is worth more), and a knapsack dynamic programme finds the best configurations for those prices, whose amounts
+grow by fractions. The prices also bound the number of sequences from below. The amounts are then rounded down to whole
+sequences and the rest is packed best fit; plain best fit is kept where it is better. Pieces
 then get their place by their rank among the pieces of their length; no text or token moves for it.
 """
 
@@ -26,9 +27,8 @@ CAPACITY = 2048
 SEPARATOR = 0
 #: Pieces of one length are ranked in so many groups, so that no length lands in one task.
 SALTS = 512
-#: How fast the price of a covered length falls, the part of what is left that a step covers, and the fullness that a configuration needs.
-RATE, STEP, FULL = 0.02, 0.5, 0.999
-ROUNDS = 200
+#: How fast the price of a covered length falls, how near to the best value a configuration has to come, and rounds.
+RATE, NEAR, ROUNDS = 8.0, 0.995, 64
 
 Configuration = tuple[tuple[int, int], ...]
 
@@ -183,43 +183,77 @@ def best_fit(left: dict[int, int], capacity: int) -> Counter:
     return sum(held.values(), Counter())
 
 
-def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[Configuration, int]]:
-    """Configurations with how many sequences take each; together they hold the histogram exactly."""
-    found: Counter = Counter()
+def priced(price: np.ndarray, there: np.ndarray, capacity: int) -> tuple[float, list[tuple[float, Configuration]]]:
+    """The best configuration's value at these prices, and for each length the best configuration that has it, with its value."""
+    best, take = knapsack(price, capacity)
+    found = {}
+    for length in there.tolist():
+        config = filling(take, capacity - length)
+        config[length] += 1
+        found[tuple(sorted(config.items(), reverse=True))] = price[length] + best[capacity - length]
+    return float(best[capacity]), [(value, config) for config, value in found.items()]
+
+
+def fractional(demand: np.ndarray, capacity: int) -> tuple[dict[Configuration, float], float]:
+    """A solution of the program (amounts of configurations that cover the demand) and a lower bound of any.
+
+    Multiplicative weights: a length's price falls by a factor with each share of its demand that is covered.
+    Prices over the value of the best configuration are a solution of the dual program, so their
+    worth of the demand bounds every packing from below. Each round adds one ROUNDS-th of the bound so far, dealt among
+    the configurations that come near the best value by what they can still cover.
+    """
+    lengths = np.arange(capacity + 1)
+    there = np.flatnonzero(demand)
+    bound = float(np.ceil((demand * lengths).sum() / capacity - 1e-9))
+    amounts: dict[Configuration, float] = {}
+    covered = np.zeros(capacity + 1)
+    share = np.zeros(capacity + 1)
+    for done in range(ROUNDS):
+        share[there] = covered[there] / demand[there]
+        price = np.where(demand > 0, lengths / capacity * np.exp(np.minimum(RATE * (done / ROUNDS - share), 50)), -np.inf)
+        top, configs = priced(price, there, capacity)
+        bound = max(bound, float((price[there] * demand[there]).sum()) / top)
+        near = [(min(demand[x] / n for x, n in config), config) for value, config in configs if value >= NEAR * top]
+        whole = sum(most for most, _ in near)
+        for most, config in near:
+            amount = bound / ROUNDS * most / whole
+            amounts[config] = amounts.get(config, 0.0) + amount
+            for x, n in config:
+                covered[x] += n * amount
+    return amounts, bound
+
+
+def rounded(amounts: dict[Configuration, float], demand: np.ndarray, capacity: int) -> Counter:
+    """Whole sequences: amounts rounded down as far as the demand lasts, fullest configurations first; the rest is packed best fit."""
+    left, found = demand.copy(), Counter()
+    for config in sorted(amounts, key=lambda c: (-sum(x * n for x, n in c), -amounts[c], c)):
+        n = min(int(amounts[config]), *(int(left[x]) // k for x, k in config))
+        if n > 0:
+            found[config] += n
+            for x, k in config:
+                left[x] -= k * n
+    found.update(best_fit({int(x): int(left[x]) for x in np.flatnonzero(left)}, capacity))
+    return found
+
+
+def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[Configuration, int]], float]:
+    """Configurations with how many sequences take each, which hold the histogram exactly, and a lower bound of their number.
+
+    The program's rounded solution, or plain best fit where that needs fewer sequences.
+    """
     demand = np.zeros(capacity + 1, np.int64)
     for length, n in histogram.items():
         demand[length] = n
-    if demand[capacity]:
-        found[((capacity, 1),)] = int(demand[capacity])
-        demand[capacity] = 0
-    left, lengths = demand.copy(), np.arange(capacity + 1)
-    for _ in range(ROUNDS):
-        there = np.flatnonzero(left)
-        if not len(there):
-            break
-        covered = 1 - left / np.maximum(demand, 1)
-        price = np.where(left > 0, lengths / capacity * np.exp(-RATE * covered), -np.inf)
-        best, take = knapsack(price, capacity)
-        # The table also has the best configuration with any one length in it: all of them are tried, dearest first.
-        value = price[there] + best[capacity - there]
-        moved = 0
-        for length in there[np.argsort(-value, kind="stable")].tolist():
-            config = filling(take, capacity - length)
-            config[length] += 1
-            filled = sum(x * n for x, n in config.items())
-            if filled < FULL * capacity:
-                continue
-            most = min(int(left[x]) // n for x, n in config.items())
-            if most:
-                amount = max(1, int(STEP * most))
-                found[tuple(sorted(config.items(), reverse=True))] += amount
-                for x, n in config.items():
-                    left[x] -= amount * n
-                moved += amount
-        if not moved:
-            break
-    found.update(best_fit({int(x): int(left[x]) for x in np.flatnonzero(left)}, capacity))
-    return sorted(found.items())
+    full = int(demand[capacity])
+    demand[capacity] = 0
+    plain = best_fit({int(x): int(demand[x]) for x in np.flatnonzero(demand)}, capacity)
+    found, bound = plain, 0.0
+    if demand.any():
+        amounts, bound = fractional(demand, capacity)
+        found = min(rounded(amounts, demand, capacity), plain, key=lambda f: sum(f.values()))
+    if full:
+        found = found + Counter({((capacity, 1),): full})
+    return sorted(found.items()), bound + full
 
 
 def slots(plan: list[tuple[Configuration, int]], capacity: int) -> np.ndarray:
@@ -247,7 +281,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     before = Window.partitionBy("length").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
     bases = common.materialise(counts.select("length", "__salt", "__n", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base")))
     histogram = {r["length"]: r["n"] for r in bases.groupBy("length").agg(F.sum("__n").alias("n")).collect()}
-    table = slots(solve(histogram, capacity), capacity)
+    table = slots(solve(histogram, capacity)[0], capacity)
     own = Window.partitionBy("length", "__salt").orderBy(*[c for c in cut.columns if c != "length"])
     ranked = salted.withColumn("__rank", F.row_number().over(own) - 1).join(bases, ["length", "__salt"]).withColumn("__rank", F.col("__rank") + F.col("__base"))
     given = ranked.select(*cut.columns, "__rank")

@@ -68,6 +68,9 @@ def test_hard_rows(spark, hard, clashing, empty):
         kept = langid.keep_identified(docs, m)
         assert kept.columns == docs.columns
         assert sorted([(r.doc_id,) for r in kept.collect()], key=key) == sorted([(i,) for i, none in want if not none], key=key)
+    assert {r.lang for r in langid.keep_identified(hard, m).collect()} <= set(m.languages)
+    kept = langid.keep_identified(hard, langid.train_on_documents(empty)).collect()  # no language learned: only what has no letter goes
+    assert sorted([(r.doc_id,) for r in kept], key=key) == sorted([(i,) for i, none in want if not none], key=key)
     assert langid.predict(empty, langid.train_on_documents(empty)).count() == 0
     assert {r.lang_pred for r in langid.predict(hard, langid.train_on_documents(empty)).collect()} == {"und"}
 

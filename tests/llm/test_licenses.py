@@ -51,3 +51,32 @@ def test_notices_of_the_tables(spark, medium):
     lines = {"Released under the MIT License.": "MIT", "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "All rights reserved.": "LicenseRef-all-rights-reserved"}
     for r in spark.read.parquet(f"{medium}/documents.parquet").collect():
         assert found[r.doc_id] == {name for line, name in lines.items() if line in r.text}
+
+
+def notice(name, words):
+    return next(text for key, text in licenses.TEMPLATES if key == name and words in text)
+
+
+def test_related_licences_are_told_apart():
+    scanner = licenses.Scanner()
+    texts = {
+        "LGPL-2.1": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "AGPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+        "CC-BY-ND-4.0": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+        "BSD-2-Clause": notice("BSD-2-Clause", "NO EVENT"),
+        "BSD-3-Clause": notice("BSD-3-Clause", "NO EVENT"),
+        "ISC": notice("ISC", "NO EVENT"),
+        "MIT": notice("MIT", "NO EVENT"),
+    }
+    for name, text in texts.items():
+        assert [m[0] for m in scanner.scan(f"Some file. {text} More words follow here.")] == [name]
+
+
+def test_many_notices_in_one_text():
+    import time
+
+    scanner, text = licenses.Scanner(), "Released under the MIT License. Other words. " * 8000
+    began = time.time()
+    assert len(scanner.scan(text)) == 8000
+    assert time.time() - began < 10

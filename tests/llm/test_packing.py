@@ -35,14 +35,28 @@ def test_added_tokens_as_the_tokenizer_has_them(spark):
 
 
 def check_plan(histogram, capacity):
-    plan = packing.solve(histogram, capacity)
+    plan, bound = packing.solve(histogram, capacity)
     held = {}
     for config, n in plan:
         assert n > 0 and sum(x * k for x, k in config) <= capacity
         for x, k in config:
             held[x] = held.get(x, 0) + k * n
     assert held == {x: n for x, n in histogram.items() if n}
-    return sum(n for _, n in plan)
+    n = sum(n for _, n in plan)
+    assert bound - 1e-6 <= n <= sum(packing.best_fit(histogram, capacity).values())
+    return n
+
+
+def test_the_program_comes_near_its_bound():
+    rng = random.Random(7)
+    for histogram in ({x: rng.randint(20, 60) for x in range(600, 1401)}, {x: rng.randint(20, 60) for x in range(1, 2048)}, {700: 1000, 650: 900, 1040: 800, 333: 700, 90: 1000}):
+        demand = np.zeros(2049, np.int64)
+        for x, n in histogram.items():
+            demand[x] = n
+        amounts, bound = packing.fractional(demand, 2048)
+        assert all(sum(x * k for x, k in config) <= 2048 for config in amounts)
+        assert sum(packing.rounded(amounts, demand, 2048).values()) <= 1.03 * bound
+        assert check_plan(histogram, 2048) <= 1.025 * bound
 
 
 def test_plans_hold_the_histogram_exactly():
@@ -61,7 +75,7 @@ def test_dense_histograms_reach_the_volume_bound():
         histogram = {x: rng.randint(20, 60) for x in range(low, high + 1)}
         n, bound = check_plan(histogram, 2048), -(-sum(x * k for x, k in histogram.items()) // 2048)
         fitted = sum(packing.best_fit(histogram, 2048).values())
-        assert n <= bound * slack + 1 and n <= fitted * 1.02  # where every length is alike common, plain best fit does better by 1.7 %
+        assert n <= bound * slack + 1 and n <= fitted
 
 
 def test_work_follows_lengths_not_pieces():
