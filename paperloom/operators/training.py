@@ -13,7 +13,7 @@ SECRETS = (("email", r"[A-Za-z0-9._-]+@[A-Za-z0-9-]+\.[A-Za-z]{2,}"), ("credenti
 
 def stable_key(key: Column, seed: str) -> Column:
     """A hash that orders rows the same way everywhere."""
-    return F.sha2(F.concat(F.lit(seed), F.lit("|"), key.cast("string")), 256)
+    return F.sha2(F.concat(F.lit(seed), F.lit("\0"), key.cast("string")), 256)
 
 
 def stable_subset(rows: DataFrame, key: str, seed: str, n: int) -> DataFrame:

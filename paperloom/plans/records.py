@@ -49,7 +49,7 @@ def section_context(spark, sf_dir):
     return R.carry_forward(rows, "user_id", "event_id", F.when(F.col("event_type") == "purchase", F.col("event_id"))).select("user_id", "event_id", F.coalesce("context", F.lit(-1)).alias("context"))
 
 
-@query("select doc_id, lang, turn from (select doc_id, lang, row_number() over (partition by lang order by sha256('final|' || doc_id::varchar), doc_id) as turn from documents) order by turn, lang limit 80")
+@query("select doc_id, lang, turn from (select doc_id, lang, row_number() over (partition by lang order by sha256('final' || chr(0) || doc_id::varchar), doc_id) as turn from documents) order by turn, lang limit 80")
 def balanced_buckets(spark, sf_dir):
     rows = X.table(spark, sf_dir, "documents").select("doc_id", "lang")
     return R.balanced(rows, "lang", D.stable_key(F.col("doc_id"), "final"), "doc_id", 80).select("doc_id", "lang", "turn")

@@ -9,7 +9,7 @@ from ..operators import training as D
 from . import fixtures as X
 from .registry import query
 
-KEY = "sha256('{seed}' || '|' || {key}::varchar)"
+KEY = "sha256('{seed}' || chr(0) || {key}::varchar)"
 BYTE = "('0x' || substr({}, 63, 2))::int"
 
 
@@ -119,9 +119,12 @@ def source_histogram(spark, sf_dir):
     return rows.groupBy("source").agg(F.count("*").alias("n"), F.countDistinct("lang").alias("langs"), F.round(F.avg("quality"), 6).alias("quality"), F.round(F.avg("toxic"), 6).alias("toxic"))
 
 
-@query("""select doc_id, case when text is null or trim(text) = '' then 'empty_text' else 'duplicate_text' end as error from (select *, count(*) over (partition by sha256(text)) as n from documents) where n > 1 or trim(coalesce(text, '')) = ''""")
+@query("""select doc_id, case when doc_id is null then 'missing_id' when ids > 1 then 'duplicate_id' when trim(coalesce(text, '')) = '' then 'empty_text' else 'duplicate_text' end as error from (select *, count(*) over (partition by sha256(text)) as n, count(*) over (partition by doc_id) as ids from documents) where doc_id is null or ids > 1 or trim(coalesce(text, '')) = '' or n > 1""")
 def corpus_errors(spark, sf_dir):
-    rows = docs(spark, sf_dir).select("doc_id", "text", F.sha2("text", 256).alias("h"))
-    many = rows.groupBy("h").agg(F.count("*").alias("n"))
-    marked = rows.join(many, "h")
-    return marked.where((F.col("n") > 1) | (F.trim("text") == "")).select("doc_id", F.when(F.trim("text") == "", "empty_text").otherwise("duplicate_text").alias("error"))
+    """Counts come from aggregates and join back, so that neither a frequent text nor a frequent id is one task's window."""
+    rows = docs(spark, sf_dir).select("doc_id", F.trim(F.coalesce("text", F.lit(""))).alias("plain"), F.sha2("text", 256).alias("h"))
+    many = rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1 and h is not null")
+    again = rows.groupBy("doc_id").agg(F.count("*").alias("ids")).where("ids > 1 and doc_id is not null")
+    marked = rows.join(many, "h", "left").join(again, "doc_id", "left")
+    error = F.when(F.col("doc_id").isNull(), "missing_id").when(F.col("ids") > 1, "duplicate_id").when(F.col("plain") == "", "empty_text").when(F.col("n") > 1, "duplicate_text")
+    return marked.select("doc_id", error.alias("error")).where("error is not null")
