@@ -10,7 +10,13 @@ from ..functions import text as T
 # Words that make a page element informative or boilerplate, and date formats.
 INFORMATIVE = ("abstract", "background", "conclusion", "findings", "overview", "purpose", "report", "result", "summary", "背景", "报告", "结果", "结论", "目的", "主要", "摘要")
 BOILERPLATE = ("all rights reserved", "confidential", "page ", "copyright", "www.", "http://", "https://")
-DATES = (r"\b\d{4}[-/]\d{1,2}[-/]\d{1,2}\b", r"\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b", r"\b\d{4}[/-]\d{2}\b", r"\b(?:19|20)\d{2}\b")
+DATES = (
+    r"\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b",
+    r"\b\d{4}[/-]\d{2}\b",
+    r"\b\d{4}\s*[-/]\s*\d{2}\b",
+    r"(?i)\b(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|jun(?:e)?|jul(?:y)?|aug(?:ust)?|sep(?:tember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)\s+\d{1,2},?\s+\d{4}\b",
+    r"\b(?:19|20)\d{2}\b",
+)
 # Terms and patterns of questions.
 TABLE_TERMS = ("average", "calculated", "change", "decrease", "increase", "largest", "less", "more", "percentage", "ratio", "smallest", "table", "total", "value", "amount", "revenue", "sales", "year", "years")
 VISUAL_TERMS = ("chart", "figure", "image", "infographic", "visual")

@@ -101,12 +101,16 @@ def trace_log(spark, sf_dir):
     return X.table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("step"))
 
 
-SAID = "said as (select o_orderkey as id, 'Order of ' || strftime(o_orderdate, '%Y-%m-%d') || ', due 3/' || (o_orderkey % 28 + 1) || '/2001.' as text from orders)"
+SAID = "said as (select o_orderkey as id, 'Order of ' || strftime(o_orderdate, '%Y-%m-%d') || ', due 3/' || (o_orderkey % 28 + 1) || '/2001, sent March ' || (o_orderkey % 28 + 1) || ', ' || year(o_orderdate) || ' (' || year(o_orderdate) || ' / 07).' as text from orders)"
+FOUND = "[]::varchar[]"
+for _pattern in D.DATES:
+    FOUND = f"list_concat({FOUND}, regexp_extract_all(text, '{_pattern}'))"
 
 
-@query(r"select distinct id, unnest(list_concat(list_concat(regexp_extract_all(text, '\b\d{4}[-/]\d{1,2}[-/]\d{1,2}\b'), regexp_extract_all(text, '\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b')), list_concat(regexp_extract_all(text, '\b\d{4}[/-]\d{2}\b'), regexp_extract_all(text, '\b(?:19|20)\d{2}\b')))) as value from said", SAID)
+@query(f"select distinct id, unnest({FOUND}) as value from said", SAID)
 def extract_dates(spark, sf_dir):
-    text = F.concat(F.lit("Order of "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(", due 3/"), (F.col("o_orderkey") % 28 + 1).cast("string"), F.lit("/2001."))
+    day, year = (F.col("o_orderkey") % 28 + 1).cast("string"), F.year("o_orderdate").cast("string")
+    text = F.concat(F.lit("Order of "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(", due 3/"), day, F.lit("/2001, sent March "), day, F.lit(", "), year, F.lit(" ("), year, F.lit(" / 07)."))
     return D.dates(X.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), text.alias("text")), "id", "text")
 
 
