@@ -16,9 +16,14 @@ QUERY_BLOCK = 512
 STOPWORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "form", "from", "full", "in", "is", "of", "on", "or", "the", "to", "what", "which", "who", "whose")
 
 
+def few(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether df has at most so many rows."""
+    return df.limit(rows + 1).count() <= rows
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most so many rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if few(df, rows) else df
 
 
 def postings(blocks: DataFrame, key: str = "block_id", text: str = "text", scope: tuple[str, ...] = ()) -> DataFrame:
@@ -35,21 +40,23 @@ def idf(n: Column, df: Column) -> Column:
 def bm25(blocks: DataFrame, questions: DataFrame, key: str = "block_id", scope: tuple[str, ...] = ()) -> DataFrame:
     """qid, scope, key and score of every block that shares a term with a question (qid, question); repeated terms count again.
 
-    Statistics are those of the scope, or of all blocks. The questions' terms are the small side.
+    Statistics are those of the scope, or of all blocks. The questions' terms are the small side: they are counted once, as
+    neither their distinct terms nor the terms found of them can be more.
     """
     asked = questions.select("qid", F.explode(T.tokens(F.col("question"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
+    hint = F.broadcast if few(asked) else lambda df: df
     rows = postings(blocks, key, scope=scope)
     sizes = blocks.select(*scope, F.size(T.tokens(F.col("text"))).alias("len"))
     stats = (sizes.groupBy(*scope) if scope else sizes.groupBy()).agg(F.count("*").alias("n_blocks"), F.avg("len").alias("avg_len"))
-    held = rows.join(small(asked.select("term").distinct()), "term", "left_semi")
+    held = rows.join(hint(asked.select("term").distinct()), "term", "left_semi")
     freq = held.groupBy(*scope, "term").agg(F.count("*").alias("df"))
     if scope:
         known = held.join(freq, [*scope, "term"]).join(stats, [*scope])
     else:
-        known = held.join(small(freq), "term").crossJoin(F.broadcast(stats))  # one row
+        known = held.join(hint(freq), "term").crossJoin(F.broadcast(stats))  # one row
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.greatest("avg_len", F.lit(1.0))))
     scored = known.withColumn("part", idf(F.col("n_blocks"), F.col("df")) * weight)
-    return scored.join(small(asked), "term").groupBy("qid", *scope, key).agg(F.round(F.sum(F.col("qtf") * F.col("part")), 6).alias("score"))
+    return scored.join(hint(asked), "term").groupBy("qid", *scope, key).agg(F.round(F.sum(F.col("qtf") * F.col("part")), 6).alias("score"))
 
 
 def top(scores: DataFrame, k: int, key: str = "block_id", by: tuple[str, ...] = ("qid",), score: str = "score") -> DataFrame:
