@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,6 +68,32 @@ def top(scores: DataFrame, k: int, key: str = "block_id", by: tuple[str, ...] =
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def encode_with(rows: DataFrame, key: str, text: str, encoder: Callable[[list[str]], list[list[float]]], batch: int = 256) -> DataFrame:
+    """key and vector of each row: encoder() gets texts (null: empty) in batches, on the executors, and gives a vector for each."""
+
+    def run(frames):
+        import pandas as pd
+
+        for frame in frames:
+            for at in range(0, len(frame), batch):
+                part = frame.iloc[at : at + batch]
+                yield pd.DataFrame({key: part[key], "vector": [list(map(float, v)) for v in encoder(part[text].fillna("").tolist())]})
+
+    return rows.select(key, text).mapInPandas(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, vector array<float>")
+
+
+def score_with(rows: DataFrame, question: str, text: str, scorer: Callable[[list[tuple[str, str]]], list[float]]) -> DataFrame:
+    """rows with a model_score: scorer() gets pairs of question and text (null: empty), on the executors, and gives a number for each."""
+
+    @F.pandas_udf("double")
+    def score(questions: pd.Series, texts: pd.Series) -> pd.Series:
+        import pandas as pd
+
+        return pd.Series(scorer(list(zip(questions.fillna(""), texts.fillna(""), strict=True))), dtype="float64")
+
+    return rows.withColumn("model_score", score(question, text))
+
+
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))

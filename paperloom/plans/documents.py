@@ -43,7 +43,7 @@ def smart_truncate(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", T.smart_truncate(t, 120).alias("short"), T.preview(t).alias("preview"), T.truncate(T.collapse(t), 90).alias("dotted"))
 
 
-@query(rf"select page_id, {FLAT.format('''regexp_replace(html, '<[^>]+>', ' ', 'g')''')} as plain, replace(replace(replace(left(html, 80), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') as escaped from pages")
+@query(rf"select page_id, {FLAT.format('''regexp_replace(html, '<[^>]+>', ' ', 'g')''')} as plain, replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') as escaped from pages")
 def strip_html(spark, sf_dir):
     return X.table(spark, sf_dir, "pages").select("page_id", T.strip_html(F.col("html")).alias("plain"), T.escape_html(F.col("html")).alias("escaped"))
 

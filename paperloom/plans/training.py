@@ -92,7 +92,7 @@ def grpo_records(spark, sf_dir):
     return rows.groupBy("conv_id").agg(F.max(F.when((F.col("turn") == F.col("last")) & (F.col("role") == "assistant"), F.col("text"))).alias("gold_answer"), F.sum((F.col("turn") < F.col("last")).cast("long")).alias("prompt_turns"))
 
 
-@query("""select p.item_id, (select min_by(o.item_id, s) from (select unnest(range(1, 17)) as s) t join placed o on o.pos = (p.pos + s) % (select count(*) from benchmark) where o.item_id <> p.item_id and not contains(lower(o.text), lower(p.answer))) as decoy from placed p""",
+@query("""select p.item_id, (select min_by(o.item_id, s) from (select unnest(range(1, (select count(*) from benchmark))) as s) t join placed o on o.pos = (p.pos + s) % (select count(*) from benchmark) where o.item_id <> p.item_id and not contains(lower(o.text), lower(p.answer))) as decoy from placed p""",
        "placed as (select item_id, text, string_split(text, ' ')[1] as answer, row_number() over (order by item_id) - 1 as pos from benchmark)")
 def decoy_negatives(spark, sf_dir):
     boards = X.table(spark, sf_dir, "benchmark").select("item_id", "text", F.split("text", " ")[0].alias("answer"))

@@ -1,6 +1,6 @@
 """Checks and citations against plain values, nulls and empty inputs among them."""
 
-from paperloom.operators import checks, citations, documents
+from paperloom.operators import checks, citations, documents, retrieval
 from paperloom.plans import training
 from pyspark.sql import functions as F
 
@@ -60,3 +60,11 @@ def test_corpus_errors_see_null_texts_and_ids(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted((str(r.doc_id), r.error) for r in training.corpus_errors(spark, str(tmp_path)).collect())
     assert got == sorted([("1", "duplicate_id"), ("1", "duplicate_id"), ("2", "empty_text"), ("3", "duplicate_text"), ("4", "duplicate_text"), ("None", "missing_id"), ("6", "empty_text")])
+
+
+def test_models_enter_as_callables(spark):
+    rows = spark.createDataFrame([(1, "what", "abc"), (2, "who", None), (3, "how", "")], "id int, question string, text string")
+    vectors = {r.id: list(r.vector) for r in retrieval.encode_with(rows, "id", "text", lambda texts: [[len(t), 1.0] for t in texts], batch=2).collect()}
+    assert vectors == {1: [3.0, 1.0], 2: [0.0, 1.0], 3: [0.0, 1.0]}
+    scored = retrieval.score_with(rows, "question", "text", lambda pairs: [len(q) - len(t) for q, t in pairs]).collect()
+    assert {r.id: r.model_score for r in scored} == {1: 1.0, 2: 3.0, 3: 3.0}
