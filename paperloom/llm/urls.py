@@ -139,7 +139,7 @@ def judge(pages: DataFrame, rules: DataFrame | None = None, default: str = "allo
     ranked = F.array_sort(F.transform(fits, lambda k: F.struct(F.length(k).alias("n"), k.alias("key"))))
     best = keyed.select("page_id", "host", "path", F.try_element_at(ranked, F.lit(-1))["key"].alias("best"))
     verdict = F.when(F.col("best").isNull(), F.lit(default)).when(member(F.col("best"), blocking), "block").otherwise("allow")
-    return best.select("page_id", "host", "path", F.replace("best", F.lit(" "), F.lit("")).alias("rule"), verdict.alias("verdict"))
+    return best.select("page_id", "host", "path", F.regexp_replace("best", "^([^/]*) ", "$1").alias("rule"), verdict.alias("verdict"))
 
 
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,6 +46,12 @@ def test_many_rules(spark):
     assert {v for *_, v in judged(spark, [(1, found[0], *["x"] * 6)], urls.rules_table(spark, ()))} == {"allow"}
 
 
+def test_rules_with_spaces(spark):
+    rules = (("block", "com", "/x y/"), ("allow", "a b.com", "/x y/z "))
+    found = ["http://q.com/x y/1", "http://a b.com/x y/z 1", "http://a b.com/x", "http://com/x%20y/"]
+    assert judged(spark, [(i, u, *["x"] * 6) for i, u in enumerate(found)], urls.rules_table(spark, rules)) == [(i, *slow(u, rules)) for i, u in enumerate(found)]
+
+
 def test_cascade_is_exact_over_its_universe(spark):
     universe = spark.range(30_000).selectExpr("concat('key ', id) as key")
     listed = spark.range(0, 30_000, 37).selectExpr("concat('key ', id) as key")
