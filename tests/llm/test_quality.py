@@ -49,13 +49,58 @@ def test_rounds_exchange_labels():
     one = (truth[:, None] * 2 - 1) * np.array([1.0, 0.5]) + rng.normal(0, 0.3, (3000, 2))
     two = (truth[:, None] * 2 - 1) * np.full(30, 0.4) + rng.normal(0, 1, (3000, 30))
     y, calibrating = truth[:60], np.arange(60) % 4 == 0
-    model = quality.co_train((one[:60], two[:60]), y, calibrating, (one[60:2000], two[60:2000]))
+    pool, taken = (one[60:2000], two[60:2000]), [set(), set()]
+
+    def handed(models, counts, step):
+        keys, out = np.arange(1940), []
+        for view in (0, 1):
+            free = np.array([k for k in keys if k not in taken[1 - view]])
+            at = [free[quality.draw(free, models[view].logit(pool[view][free]), label, counts[label], step)[1]] for label in (0, 1)]
+            taken[1 - view].update(np.concatenate(at).tolist())
+            out.append((pool[1 - view][np.concatenate(at)], np.repeat([0.0, 1.0], [len(at[0]), len(at[1])])))
+        return out
+
+    model = quality.co_train((one[:60], two[:60]), y, calibrating, handed)
     alone = quality.fit(two[:60][~calibrating], y[~calibrating])
     acc = [np.mean((m.logit(two[2000:]) > 0) == truth[2000:]) for m in (alone, model.parts[1])]
     assert acc[1] > acc[0]
     assert np.mean((model.score((one[2000:], two[2000:])) > 0.5) == truth[2000:]) > 0.97
 
 
+def test_draws_from_all_rows(spark):
+    """The drawn rows are those that plain Python draws from the whole table, copies once, known rows left out."""
+    docs, labels = rows_of(600)
+    docs += [(1000 + i, *docs[0][1:]) for i in range(300)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").repartition(7)
+    chosen = np.unique(np.concatenate([quality.word_cells(t) for _, t, *_ in docs[:5]]))
+    seen = quality.views(d, chosen).cache()
+    rows = seen.toArrow()
+    x, keys = quality.unpacked(rows), rows.column("key").to_numpy()
+    rng = np.random.default_rng(3)
+    models = [quality.Linear(rng.normal(0, 1, v.shape[1]).astype(np.float32), 0.0) for v in x]
+    models = [quality.Linear(m.weights * 50, -50 * float(np.median(v @ m.weights))) for m, v in zip(models, x, strict=True)]
+    pool = quality.Pool(seen, keys[:20])
+    for step in (0, 1):
+        taken = [set(t.tolist()) for t in pool.taken]
+        got = pool(models, (40, 30), step)
+        for view in (0, 1):
+            free = np.array([i for i in range(len(keys)) if keys[i] not in taken[1 - view]])
+            logit = models[view].logit(x[view][free])
+            want = sorted((label, k) for label, count in ((0, 40), (1, 30)) for k in keys[free[quality.draw(keys[free], logit, label, count, step)[1]]].tolist())
+            assert len(want) == len(set(want)) and got[view][1].tolist() == [label for label, _ in want]
+            row = {k: i for i, k in enumerate(keys.tolist())}
+            assert np.array_equal(got[view][0], x[1 - view][[row[k] for _, k in want]])
+
+
+def test_a_label_of_one_target_is_learnt(spark):
+    docs, labels = rows_of(400)
+    d = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    m = spark.createDataFrame([(i, q, None if i % 4 == 1 else t) for i, q, t in labels], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.quality_score for r in quality.classify(d, m).collect()}
+    truth = {i: "%%%" not in t and "$$$" not in t for i, t, *_ in docs}
+    assert len(got) == 400 and np.mean([(got[i] >= 0.5) == truth[i] for i in truth if i % 2 == 0]) > 0.95
+
+
 def test_hard_rows(spark, hard, clashing, empty):
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (2, 0, 1), (None, 1, 1), (4, None, 0), (99, 1, 1), (6, 0, 0)], "doc_id long, quality int, toxic int")
     for docs in (hard, clashing):
