@@ -1,6 +1,6 @@
 """Quality classifier by co-training.
 
-Two views describe a document: its text content (telling words and byte trigrams) and its page metadata
+Two views describe a document: its text content (telling words, byte trigrams, repetition) and its page metadata
 (language, source, length, and how its lines are laid out and set). A logistic classifier for each view
 learns from labelled documents. Over rounds both judge every other document of the corpus, and each hands
 a draw of those it is confident of to the other as labels. Each view is then calibrated on labelled documents
@@ -31,6 +31,8 @@ HANDED = 150
 CONFIDENT = 0.9
 #: Words are hashed to CELLS; those that tell a target's classes apart best on the labelled rows, so many a target, are features.
 CELLS, TELLING, TRIGRAMS = 1 << 18, 256, 1 << 9
+#: Numbers of the text view beside the words.
+TEXT = TRIGRAMS + 2
 SOURCES = 64
 #: Every CALIBRATE-th labelled document, by another hash, calibrates.
 CALIBRATE = 4
@@ -42,13 +44,17 @@ def word_cells(text: str) -> np.ndarray:
     return np.unique(np.fromiter((zlib.crc32(w.strip(b".,;:!?()\"'")) for w in words), np.uint32, len(words)) % CELLS).astype(np.int32)
 
 
-def trigram_view(text: str) -> np.ndarray:
-    """Square roots of the shares of hashed byte trigrams, as half-precision numbers have them."""
+def text_view(text: str) -> np.ndarray:
+    """Square roots of the shares of hashed byte trigrams, then how far words repeat; as half-precision numbers have them."""
+    out = np.zeros(TEXT, np.float16)
     b = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8).astype(np.uint32)
-    if len(b) < 3:
-        return np.zeros(TRIGRAMS, np.float32)
-    code = (b[:-2] << 16 | b[1:-1] << 8 | b[2:]) * np.uint32(2654435761) >> np.uint32(33 - TRIGRAMS.bit_length())
-    return np.sqrt(np.bincount(code, minlength=TRIGRAMS) / len(code)).astype(np.float16).astype(np.float32)
+    if len(b) >= 3:
+        code = (b[:-2] << 16 | b[1:-1] << 8 | b[2:]) * np.uint32(2654435761) >> np.uint32(33 - TRIGRAMS.bit_length())
+        out[:TRIGRAMS] = np.sqrt(np.bincount(code, minlength=TRIGRAMS) / len(code))
+    if words := text.split():
+        repeated = 1 - len(set(words)) / len(words)
+        out[TRIGRAMS:] = repeated, np.log1p(len(words)) * repeated / 5
+    return out.astype(np.float32)
 
 
 def telling(cells: list[np.ndarray], y: np.ndarray) -> np.ndarray:
@@ -264,10 +270,10 @@ def sample(docs: DataFrame, labels: DataFrame) -> pd.DataFrame:
 
     def view(batch) -> dict:
         rows = rows_of(batch)
-        return {"cells": [word_cells(r[0]).tobytes() for r in rows], "trigrams": [trigram_view(r[0]).tobytes() for r in rows], "metadata": [metadata_view(*r).tobytes() for r in rows]}
+        return {"cells": [word_cells(r[0]).tobytes() for r in rows], "plain": [text_view(r[0]).tobytes() for r in rows], "metadata": [metadata_view(*r).tobytes() for r in rows]}
 
     kept = ", ".join(f"{t} int" for t in TARGETS)
-    packed = common.map_rows(rows, f"doc_id long, key long, {kept}, cells binary, trigrams binary, metadata binary", lambda: view, rows=256)
+    packed = common.map_rows(rows, f"doc_id long, key long, {kept}, cells binary, plain binary, metadata binary", lambda: view, rows=256)
     # Of repeated ids with other texts the one with the smallest key.
     found = packed.toPandas().sort_values(["doc_id", "key"]).drop_duplicates("doc_id")
     common.release(chosen)
@@ -275,11 +281,11 @@ def sample(docs: DataFrame, labels: DataFrame) -> pd.DataFrame:
 
 
 def views(docs: DataFrame, chosen: np.ndarray) -> DataFrame:
-    """doc_id, key, content (the chosen words' bits, then trigrams in half precision) and metadata of every row of docs."""
+    """doc_id, key, content (the chosen words' bits, then the text view in half precision) and metadata of every row of docs."""
 
     def view(batch) -> dict:
         rows = rows_of(batch)
-        content = [np.packbits(presence(word_cells(r[0]), chosen) > 0).tobytes() + trigram_view(r[0]).astype(np.float16).tobytes() for r in rows]
+        content = [np.packbits(presence(word_cells(r[0]), chosen) > 0).tobytes() + text_view(r[0]).astype(np.float16).tobytes() for r in rows]
         return {"content": content, "metadata": [metadata_view(*r).astype(np.float32).tobytes() for r in rows]}
 
     return common.map_rows(keyed(common.pick(docs, **COLUMNS)), "doc_id long, key long, content binary, metadata binary", lambda: view, rows=256)
@@ -288,10 +294,10 @@ def views(docs: DataFrame, chosen: np.ndarray) -> DataFrame:
 def unpacked(batch: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Both views of rows of views(); bits beyond the chosen words are 0."""
     content = np.frombuffer(b"".join(batch.column("content").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-    words = np.unpackbits(np.ascontiguousarray(content[:, : -2 * TRIGRAMS]), axis=1).astype(np.float32)
-    trigrams = np.ascontiguousarray(content[:, -2 * TRIGRAMS :]).view(np.float16).astype(np.float32)
+    words = np.unpackbits(np.ascontiguousarray(content[:, : -2 * TEXT]), axis=1).astype(np.float32)
+    plain = np.ascontiguousarray(content[:, -2 * TEXT :]).view(np.float16).astype(np.float32)
     metadata = np.frombuffer(b"".join(batch.column("metadata").to_pylist()), np.float32).reshape(batch.num_rows, WIDTH)
-    return np.concatenate((words, trigrams), axis=1), metadata
+    return np.concatenate((words, plain), axis=1), metadata
 
 
 #: Numbers of the metadata view.
@@ -312,7 +318,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[Classifier, DataFrame]:
     words = np.zeros((len(rows), bits), np.float32)
     for i, c in enumerate(cells):
         words[i, : len(chosen)] = presence(c, chosen)
-    plain = [np.array([np.frombuffer(b, np.float32) for b in rows[name]], np.float32).reshape(len(rows), width) for name, width in (("trigrams", TRIGRAMS), ("metadata", WIDTH))]
+    plain = [np.array([np.frombuffer(b, np.float32) for b in rows[name]], np.float32).reshape(len(rows), width) for name, width in (("plain", TEXT), ("metadata", WIDTH))]
     known = (np.concatenate((words, plain[0]), axis=1), plain[1])
     seen = common.materialise(views(docs, chosen))
     keys = rows["key"].to_numpy(np.int64)
