@@ -202,3 +202,44 @@ def boosted_top(hits: DataFrame, k: int, key: str = "block_id") -> DataFrame:
     scored = hits.withColumn("boosted", F.round(F.col("score") + boost * best, 6))
     order = Window.partitionBy("qid").orderBy(F.desc("boosted"), "rank")
     return scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+
+
+def select_spans(board: Column, per_page: int = 3, most: int = 12, blocks: int = 32, budget: int | None = None) -> Column:
+    """Evidence spans of a question, best first: an array of structs page, primary, block_ids.
+
+    board: one question's blocks as structs score, rank (of the page), ord, block_id, page, window (the blocks around it and itself
+    in reading order, as structs block_id and chars). A span is a block with what of its window no earlier span holds. At most
+    `per_page` spans a page, `most` in all, `blocks` blocks; blocks scored 0 or less only as the first span. With a budget, spans
+    whose text (lines joined) would pass that many estimated tokens are left out, but for the first. Ties go by rank, ord, block_id.
+    """
+    keyed = F.transform(board, lambda b: F.struct((-b["score"]).alias("s"), b["rank"].alias("r"), b["ord"].alias("o"), b["block_id"].alias("i"), b.alias("b")))
+    ordered = F.transform(F.array_sort(keyed), lambda x: x["b"])
+
+    def step(acc: Column, b: Column) -> Column:
+        spans, used = acc["spans"], acc["used"]
+        new = F.filter(b["window"], lambda w: (w["block_id"] == b["block_id"]) | ~F.array_contains(used, w["block_id"]))
+        new = F.slice(new, F.lit(1), F.greatest(F.lit(blocks) - F.size(used), F.lit(0)))
+        chars = F.aggregate(new, F.lit(0), lambda n, w: n + w["chars"].cast("int")) + F.size(new) - 1
+        tokens = F.floor((chars + 3) / 4).cast("int")
+        fits = (F.size(spans) < most) & (F.size(used) < blocks) & (F.size(new) > 0) & ~F.exists(spans, lambda x: x["primary"] == b["block_id"])
+        fits &= (F.size(F.filter(spans, lambda x: x["page"] == b["page"])) < per_page) & ((b["score"] > 0) | (F.size(spans) == 0))
+        if budget:
+            fits &= (acc["tokens"] + tokens <= budget) | (F.size(spans) == 0)
+        ids = F.transform(new, lambda w: w["block_id"])
+        span = F.array(F.struct(b["page"].alias("page"), b["block_id"].alias("primary"), ids.alias("block_ids")))
+        return F.struct(
+            F.when(fits, F.concat(spans, span)).otherwise(spans).alias("spans"),
+            F.when(fits, F.array_union(used, ids)).otherwise(used).alias("used"),
+            (acc["tokens"] + F.when(fits, tokens).otherwise(0)).alias("tokens"),
+        )
+
+    ids = lambda x: F.transform(x["window"], lambda w: w["block_id"])
+    none = F.transform(F.slice(board, 1, 0), lambda x: F.struct(x["page"].alias("page"), x["block_id"].alias("primary"), ids(x).alias("block_ids")))
+    start = F.struct(none.alias("spans"), F.flatten(F.transform(none, lambda x: x["block_ids"])).alias("used"), F.lit(0).alias("tokens"))
+    return F.aggregate(ordered, start, step)["spans"]
+
+
+def windows_around(blocks: DataFrame, around: int = 1) -> DataFrame:
+    """blocks (page, ord, block_id, text) with a window: those up to `around` places away on the page, in order, as block_id and chars."""
+    near = Window.partitionBy("page").orderBy("ord", "block_id").rowsBetween(-around, around)
+    return blocks.withColumn("window", F.collect_list(F.struct("block_id", F.length("text").alias("chars"))).over(near))

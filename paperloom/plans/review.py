@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import documents as D
+from ..operators import evidence as E
 from ..operators import review as V
 from . import fixtures as X
 from . import retrieval as Q
@@ -169,3 +170,23 @@ def boosted_search(spark, sf_dir):
     kind = F.when(F.col("rank") % 3 == 0, "table").when(F.col("rank") % 3 == 1, "text").otherwise("image")
     rows = hits.withColumns({"block_type": kind, "types": F.array(F.lit("text")), "hint": F.when(F.col("qid") % 2 == 0, "numeric").otherwise("text")})
     return V.boosted_top(rows, 5).select("qid", "block_id", "boosted", "place")
+
+
+def span_boards(spark, sf_dir):
+    """The blocks found for each question with their scores and windows: qid, board. Five lines of a document are a page."""
+    page = F.concat_ws("_", "doc_id", F.floor((F.col("ord") - 1) / 5).cast("string"))
+    hits = Q.searched(spark, sf_dir, 30).select("qid", "block_id", "rank")
+    rows = X.blocks(spark, sf_dir).withColumn("page", page)
+    pages = rows.join(Q.R.small(hits.select("block_id").distinct()), "block_id", "left_semi").select("page").distinct()
+    near = V.windows_around(rows.join(Q.R.small(pages), "page", "left_semi"))
+    known = hits.join(near, "block_id").join(Q.R.small(X.questions(spark, sf_dir).select("qid", "question")), "qid")
+    score = F.round(E.block_score(F.col("question"), F.col("text"), F.col("rank"), D.answer_hint(F.col("question"))) - 0.15, 6)
+    item = F.struct(score.alias("score"), "rank", "ord", "block_id", "page", "window")
+    return known.groupBy("qid").agg(F.collect_list(item).alias("board"))
+
+
+@query()
+def span_selection(spark, sf_dir):
+    """A greedy choice under budgets: no SQL, the tests hold it against plain Python."""
+    chosen = span_boards(spark, sf_dir).select("qid", F.posexplode(V.select_spans(F.col("board"), 2, 6, 12, 400)).alias("pos", "span"))
+    return chosen.select("qid", (F.col("pos") + 1).alias("place"), "span.page", "span.primary", F.array_join("span.block_ids", ",").alias("block_ids"))

@@ -49,3 +49,39 @@ def test_null_values(spark):
         V.adjacent_pages(F.lit(1), F.lit(None).cast("int")).alias("pages"),
     ).first()
     assert row.issues == ["location_not_object", "missing_user_prompt"] and row.trigger == "visual_evidence_missing" and row.said == "" and row.pages == [2]
+
+
+def slow_spans(board, per_page, most, blocks, budget):
+    spans, used, total = [], [], 0
+    for b in sorted(board, key=lambda b: (-b.score, b["rank"], b.ord, b.block_id)):
+        if len(spans) >= most or len(used) >= blocks:
+            break
+        if any(s[1] == b.block_id for s in spans) or sum(s[0] == b.page for s in spans) >= per_page or b.score <= 0 and spans:
+            continue
+        new = [w for w in b.window if w.block_id == b.block_id or w.block_id not in used][: blocks - len(used)]
+        tokens = (sum(w.chars for w in new) + len(new) - 1 + 3) // 4
+        if not new or budget and spans and total + tokens > budget:
+            continue
+        spans.append((b.page, b.block_id, [w.block_id for w in new]))
+        used += [w.block_id for w in new if w.block_id not in used]
+        total += tokens
+    return spans
+
+
+def test_span_selection(spark, medium):
+    boards = P.span_boards(spark, medium).cache()
+    rows = boards.collect()
+    assert len(rows) == 40 and all(any(w.block_id == b.block_id for w in b.window) and len(b.window) <= 3 for r in rows for b in r.board)
+    seen = set()
+    for limits in ((3, 12, 32, None), (2, 6, 12, 400), (1, 30, 5, None), (5, 30, 64, 90)):
+        got = {r.qid: [(s.page, s.primary, s.block_ids) for s in r.x] for r in boards.select("qid", V.select_spans(F.col("board"), *limits).alias("x")).collect()}
+        assert got == {r.qid: slow_spans(r.board, *limits) for r in rows}
+        seen.add(sum(map(len, got.values())))
+    assert len(seen) == 4
+    assert boards.limit(1).select(V.select_spans(F.slice("board", 1, 0)).alias("x")).first().x == []
+
+
+def test_windows_around(spark):
+    rows = [("p", i, f"b{i}", "x" * i) for i in range(1, 6)] + [("q", 1, "c", "")]
+    got = {r.block_id: [(w.block_id, w.chars) for w in r.window] for r in V.windows_around(spark.createDataFrame(rows, "page string, ord int, block_id string, text string"), 1).collect()}
+    assert got["b1"] == [("b1", 1), ("b2", 2)] and got["b3"] == [("b2", 2), ("b3", 3), ("b4", 4)] and got["c"] == [("c", 0)]
