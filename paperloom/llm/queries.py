@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, compaction, decontam, langid, licenses, lines, media, packing, quality, simhash, urls
+from . import chat, compaction, decontam, divergence, langid, licenses, lines, media, packing, quality, simhash, urls
 
 QUERIES = {
     "op1_simhash_dedup": simhash.op1_simhash_dedup,
@@ -16,10 +16,12 @@ QUERIES = {
     "op9_benchmark_decontamination": decontam.op9_benchmark_decontamination,
     "op10_line_dedup": lines.op10_line_dedup,
     "op11_file_compaction": compaction.op11_file_compaction,
+    "op12_source_divergence": divergence.op12_source_divergence,
 }
 
 ORACLES = {
     "op7_url_filters": urls.oracle(),
     "op8_chat_formatting": chat.oracle(),
     "op11_file_compaction": compaction.oracle(),
+    "op12_source_divergence": divergence.oracle(),
 }
