@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, compaction, decontam, divergence, langid, licenses, lines, media, packing, quality, simhash, urls
+from . import chat, compaction, decontam, divergence, langid, licenses, lines, media, ngrams, packing, quality, simhash, urls
 
 QUERIES = {
     "op1_simhash_dedup": simhash.op1_simhash_dedup,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_line_dedup": lines.op10_line_dedup,
     "op11_file_compaction": compaction.op11_file_compaction,
     "op12_source_divergence": divergence.op12_source_divergence,
+    "op13_ngram_join": ngrams.op13_ngram_join,
 }
 
 ORACLES = {
