@@ -94,7 +94,7 @@ def audit(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, top: int = TOP) -
     sizes = common.materialise(sizes)
     langs = sizes.groupBy("lang").agg(F.sum("size").alias("lang_size"), F.sum("led").alias("terms"))
     groups = sizes.join(langs, "lang").select("lang", "source", (F.col("size") + 2 * F.col("terms")).alias("total"), (F.col("lang_size") + 2 * F.col("terms")).alias("lang_total"), "terms")
-    groups = common.materialise(groups.withColumn("base", F.when(F.col("terms") > 0, chance("0", "total")).otherwise(0)))
+    groups = common.materialise(groups.withColumn("base", F.when(F.col("terms") > 0, chance("0", "total")).otherwise(1)))
     terms = kept.where("term is not null").join(groups.select("lang", "source", "total", "lang_total", "base"), ["lang", "source"])
     terms = common.materialise(terms.select("lang", "source", "term", "n", chance("n", "total").alias("p"), chance("`all`", "lang_total").alias("q"), "base"))
     common.release(kept)
