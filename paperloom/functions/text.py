@@ -75,6 +75,40 @@ def centered_window(text: Column, answer: Column, limit: int) -> Column:
     return F.when(F.length(plain) <= limit, plain).when(start < 0, smart_truncate(text, limit)).otherwise(window)
 
 
+SPAN_TOKEN = r"[A-Za-z0-9\x{4e00}-\x{9fff}.%+-]"
+
+
+def span_tokens(text: Column) -> Column:
+    """The words of a text that spans are matched by, lower-cased, with the places (from 0) where each starts and ends: an index by position."""
+    pieces = F.regexp_extract_all(text, F.lit(rf"[^{SPAN_TOKEN[1:-1]}]*{SPAN_TOKEN}+"), F.lit(0))  # a word and what stands before it
+    none = F.expr("cast(array() as array<struct<word:string,start:int,end:int>>)")
+
+    def step(acc: Column, piece: Column) -> Column:
+        word = F.regexp_substr(piece, F.lit(rf"{SPAN_TOKEN}+$"))
+        end = acc["at"] + F.length(piece)
+        return F.struct(end.alias("at"), F.concat(acc["words"], F.array(F.struct(F.lower(word).alias("word"), (end - F.length(word)).alias("start"), end.alias("end")))).alias("words"))
+
+    return F.aggregate(pieces, F.struct(F.lit(0).alias("at"), none.alias("words")), step)["words"]
+
+
+def answer_span(text: Column, answer: Column) -> Column:
+    """Where a text first holds an answer, as a struct of start and end (from 0, end exclusive): as it is written, whatever its case, else
+    word by word, whatever stands between the words. Null where it doesn't, and for blank answers."""
+    plain = F.btrim(answer, F.lit(" \t\r\n"))
+    at = F.position(F.lower(plain), F.lower(text))
+    asked = F.regexp_extract_all(F.lower(plain), F.lit(rf"{SPAN_TOKEN}+"), F.lit(0))
+    n = F.size(asked)
+
+    def by_words(index: Column) -> Column:
+        words = F.transform(index, lambda x: x["word"])
+        starts = F.filter(F.transform(index, lambda _, i: i), lambda i: (F.get(words, i) == F.get(asked, F.lit(0))) & (F.slice(words, i + 1, n) == asked))
+        first = F.get(starts, F.lit(0))
+        return F.when(first.isNotNull(), F.struct(F.get(index, first)["start"].alias("start"), F.get(index, first + n - 1)["end"].alias("end")))
+
+    direct = F.struct((at - 1).alias("start"), (at - 1 + F.length(plain)).alias("end"))
+    return F.when((plain != "") & (at > 0), direct).when((plain != "") & (n > 0), F.get(F.transform(F.array(span_tokens(text)), by_words), F.lit(0)))
+
+
 def strip_html(html: Column) -> Column:
     return collapse(F.regexp_replace(html, "<[^>]+>", " "))
 

@@ -95,3 +95,21 @@ def split_large(blocks: DataFrame, key: str, most: int = 1200) -> DataFrame:
 
     parts = F.when(F.length("text") <= most, F.array("text")).otherwise(F.aggregate(sentences, none, step))
     return blocks.select(key, F.posexplode(parts).alias("part", "text"))
+
+
+def spans_in(texts: DataFrame, answers: DataFrame, key: str, text: str, answer_key: str, answer: str, anchor: int = 4) -> DataFrame:
+    """key, answer_key, start and end of each answer in each text that holds it (T.answer_span), for answers of anchor + 2 words or more.
+
+    Whoever holds an answer holds its words but the first and last whole and in order; so the words after the first make an anchor, and texts
+    and answers meet by anchors alone. Texts are read again for those that meet.
+    """
+    index = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(rf"{T.SPAN_TOKEN}+"), F.lit(0))
+    grams = lambda words, first, last: F.transform(F.sequence(first, last), lambda i: F.xxhash64(F.array_join(F.slice(words, i, F.lit(anchor)), " ")))
+    held = texts.select(key, index.alias("__words")).where(F.size("__words") >= anchor)
+    held = held.select(key, F.explode(F.array_distinct(grams(F.col("__words"), F.lit(1), F.size("__words") - anchor + 1))).alias("__anchor"))
+    asked = answers.select(answer_key, answer, F.regexp_extract_all(F.lower(F.col(answer)), F.lit(rf"{T.SPAN_TOKEN}+"), F.lit(0)).alias("__words")).where(F.size("__words") >= anchor + 2)
+    asked = asked.select(answer_key, answer, F.get(grams(F.col("__words"), F.lit(2), F.lit(2)), F.lit(0)).alias("__anchor"))
+    met = held.join(asked.select(answer_key, "__anchor"), "__anchor").select(key, answer_key).distinct()
+    both = met.join(asked.select(answer_key, answer), answer_key).join(texts.select(key, text), key)
+    found = both.select(key, answer_key, T.answer_span(F.col(text), F.col(answer)).alias("s")).where("s is not null")
+    return found.select(key, answer_key, "s.start", "s.end")

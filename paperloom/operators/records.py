@@ -2,19 +2,77 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Parts of names and paths that mark held-out or gold data.
 HELD_OUT = ("dev", "val", "validation", "test", "heldout")
 LEAKS = r"(?i)\"(gold[a-z_]*|answer_key|label)\"\s*:"
+#: Fields of model outputs of all three contracts, and the types they are read as.
+FIELDS = {
+    "answer": str, "evidence_location": dict, "evidence": str, "reason": str, "reasoning_summary": str, "citation_block_ids": list, "citations": list, "evidence_used": (list, str), "supporting_refs": list, "support_status": str,
+}
 OUTPUT = "answer string, support_status string, supporting_refs array<string>"
 
 
+def read_output(text: str | None) -> tuple[str | None, str]:
+    """The JSON object of a model's output, and how it was come by: the whole text, the first object in it with a known field (after
+    thoughts), single fields of one that is cut off, or not at all. A brace or quote in the prose before it doesn't matter."""
+    import json
+
+    decoder, whole = json.JSONDecoder(), (text or "").strip()
+
+    def value_at(body: str, at: int):
+        try:
+            return decoder.raw_decode(body, at)[0]
+        except (json.JSONDecodeError, RecursionError):
+            return None
+
+    def known(value) -> bool:
+        return isinstance(value, dict) and not FIELDS.keys().isdisjoint(value)
+
+    try:
+        if isinstance(value := json.loads(whole), dict):
+            return json.dumps(value, ensure_ascii=False), "whole"
+    except (json.JSONDecodeError, RecursionError):
+        pass
+    body = whole.rsplit("</think>", 1)[-1].strip()
+    at = body.find("{")
+    while at >= 0:
+        if known(value := value_at(body, at)):
+            return json.dumps(value, ensure_ascii=False), "object"
+        at = body.find("{", at + 1)
+    parts = {}
+    for name, kinds in FIELDS.items():
+        key = body.find(f'"{name}"')
+        colon = body.find(":", key + len(name) + 2) if key >= 0 else -1
+        if colon >= 0:
+            start = len(body) - len(body[colon + 1 :].lstrip())
+            if isinstance(value := value_at(body, start), kinds):
+                parts[name] = value
+    return (json.dumps(parts, ensure_ascii=False), "fields") if parts else (None, "none")
+
+
+def recovered(text: Column) -> Column:
+    """A struct of json (the object in a model's output as text, null without any) and how (whole, object, fields, none).
+
+    Python reads the texts in Arrow batches: where a string ends depends on the brace that a reading starts from, which no regular
+    expression and no single fold tells.
+    """
+
+    @F.pandas_udf("json string, how string")
+    def read(texts: pd.Series) -> pd.DataFrame:
+        import pandas as pd
+
+        return pd.DataFrame([read_output(t) for t in texts], columns=["json", "how"])
+
+    return read(text)
+
+
 def recover_json(text: Column) -> Column:
-    """The fields of the first object in a text: what stands before it (thoughts, fences) and after it is ignored."""
-    inner = F.regexp_extract(F.regexp_replace(text, r"(?s)^.*</think>", ""), r"(?s)(\{.*\})", 1)
-    return F.from_json(inner, OUTPUT)
+    """The fields of the first object in a text; what stands before and after it is ignored, a cut-off object gives what it holds."""
+    return F.from_json(recovered(text)["json"], OUTPUT)
 
 
 def citation_ids(output: Column) -> Column:

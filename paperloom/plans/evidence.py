@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import arithmetic as A
 from ..operators import documents as D
 from ..operators import evidence as E
 from ..operators import retrieval as R
@@ -120,3 +122,32 @@ def small_block_merge(spark, sf_dir):
 @query()
 def split_large_blocks(spark, sf_dir):
     return E.split_large(X.blocks(spark, sf_dir).select("block_id", "text"), "block_id")
+
+
+#: A text with other marks between the words, and one in capitals, so that spans are found in each way.
+HELD = "held as (select doc_id, case doc_id % 3 when 1 then translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') when 2 then replace(replace(text, ', ', ' / '), '. ', '.  ') else text end as text from documents)"
+WORDS = r"regexp_extract_all(lower({}), '[A-Za-z0-9\x{{4e00}}-\x{{9fff}}.%+-]+')"
+
+
+@query(rf"""select doc_id, item_id, start, "end" from (select *, case when direct > 0 then direct - 1 when first > 0 then coalesce(list_sum(list_transform(pieces[1:first], lambda p: length(p))), 0) - length(words[first]) end::int as start,
+case when direct > 0 then direct - 1 + length(answer) when first > 0 then list_sum(list_transform(pieces[1:first + len(asked) - 1], lambda p: length(p))) end::int as "end" from (
+select *, strpos(lower(text), lower(answer)) as direct, list_filter(range(1, len(words) + 1), lambda i: words[i] = asked[1] and words[i:i + len(asked) - 1] = asked)[1] as first from (
+select doc_id, item_id, h.text, trim(b.text, ' ' || chr(9) || chr(10) || chr(13)) as answer, {WORDS.format('h.text')} as words, regexp_extract_all(h.text, '[^A-Za-z0-9\x{{4e00}}-\x{{9fff}}.%+-]*[A-Za-z0-9\x{{4e00}}-\x{{9fff}}.%+-]+') as pieces, {WORDS.format('b.text')} as asked
+from held h join benchmark b on contains(' ' || array_to_string({WORDS.format('h.text')}, ' ') || ' ', ' ' || array_to_string({WORDS.format('b.text')}[2:5], ' ') || ' ') where len({WORDS.format('b.text')}) >= 6))) where start is not null""", HELD)
+def answer_spans(spark, sf_dir):
+    """Where each document holds a benchmark passage, to the character."""
+    doc, text = F.col("doc_id"), F.col("text")
+    texts = X.table(spark, sf_dir, "documents").select("doc_id", F.when(doc % 3 == 1, F.translate(text, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")).when(doc % 3 == 2, F.replace(F.replace(text, F.lit(", "), F.lit(" / ")), F.lit(". "), F.lit(".  "))).otherwise(text).alias("text"))
+    return E.spans_in(texts, X.table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("answer")), "doc_id", "text", "item_id", "answer")
+
+
+@query(r"""select o_orderkey as id, case when kind = 3 and q = 0 then null else round(case kind when 0 then p + q * 3 - 2 when 1 then (p - q) / 4 * -2 when 2 then 2 ** ((q % 5) ** 2) - p when 3 then p / q when 4 then -((p + 1) * (q + 2)) + p when 5 then -(3.0 ** 2) + q when 6 then null else null end, 4) end as result,
+case when kind = 3 and q = 0 then 'division by zero' when kind = 6 then 'unbalanced parentheses' when kind = 7 then 'unknown token' end as error from (select o_orderkey, o_orderkey % 8 as kind, round(o_totalprice, 2) as p, (o_custkey % 7)::double as q from orders)""")
+def expression_results(spark, sf_dir):
+    """Expressions over the orders' columns: precedence, signs, powers, nesting, division by zero, and two that are broken."""
+    p, q, r = F.format_string("%.2f", "o_totalprice"), (F.col("o_custkey") % 7).cast("string"), (F.col("o_custkey") % 7 % 5).cast("string")
+    kind = (F.col("o_orderkey") % 8).cast("int")
+    of = lambda *parts: F.concat(*[x if isinstance(x, Column) else F.lit(x) for x in parts])
+    shapes = (of(p, " + ", q, "*3 - 2"), of("(", p, "-", q, ") / 4 * -2"), of("2**(", r, ")**2 - ", p), of(p, "/", q), of("-((", p, "+1)*(", q, " + 2)) + ", p), of("-3**2 + ", q), of("((", p, ") + ", q, "*(2"), of(p, " times ", q))
+    done = X.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), A.calculate(F.get(F.array(*shapes), kind)).alias("c"))
+    return done.select("id", F.round("c.result", 4).alias("result"), "c.error")

@@ -20,6 +20,27 @@ def json_recovery(spark, sf_dir):
     return rows.select("item_id", "o.answer", "o.support_status", F.col("o.supporting_refs")[0].alias("ref"))
 
 
+SHAPES = """shapes as (select item_id, text, item_id % 8 as shape, text || ' "quoted" {brace} \\ end' as said from benchmark)"""
+
+
+@query("""select item_id, case when shape = 7 then 'none' when shape in (0, 6) then 'whole' when shape in (4, 5) then 'fields' else 'object' end as how, case when shape in (4, 6) or shape < 4 then said when shape = 5 then 'short' end as answer,
+case when shape in (0, 1, 2, 3) then 'supported' when shape = 5 then 'insufficient' end as support_status, case when shape in (0, 1, 2, 3) then 'E' || item_id % 3 end as ref from shapes""", SHAPES)
+def json_recovery_shapes(spark, sf_dir):
+    """Outputs of eight shapes over the benchmark's texts: whole; after thoughts; after prose with a brace and an odd quote; the second of two objects; cut off in a
+    later field; cut off after a nested object; whole with other fields; none."""
+    key, said = F.col("item_id"), F.concat(F.col("text"), F.lit(' "quoted" {brace} \\ end'))
+    full = F.to_json(F.struct(said.alias("answer"), F.lit("supported").alias("support_status"), F.array(F.concat(F.lit("E"), (key % 3).cast("string"))).alias("supporting_refs")))
+    alone = F.to_json(F.struct(said.alias("answer")))
+    shapes = (
+        full, F.concat(F.lit('<think>{"answer": "no"} plan {x}</think>\n'), full, F.lit(" done }")), F.concat(F.lit('He said "set {x} of the '), full, F.lit(" and more")), F.concat(F.lit('{"note": {"a": 1}} then '), full, F.lit(' {"answer": "late"}')),
+        F.concat(F.substr(alone, F.lit(1), F.length(alone) - 1), F.lit(', "supporting_refs": ["E1", "E')), F.lit('{"answer": "short", "evidence_location": {"page": 1}, "support_status": "insufficient", "reasoning_summary": "cut'),
+        F.concat(F.substr(alone, F.lit(1), F.length(alone) - 1), F.lit(', "extra": [1, {"b": null}]}')), F.concat(F.lit("no object here: {"), F.col("text")),
+    )
+    rows = X.table(spark, sf_dir, "benchmark").withColumn("output", F.get(F.array(*shapes), (key % len(shapes)).cast("int")))
+    read = rows.select("item_id", R.recovered(F.col("output")).alias("r")).select("item_id", "r.how", F.from_json("r.json", R.OUTPUT).alias("o"))
+    return read.select("item_id", "how", "o.answer", "o.support_status", F.get("o.supporting_refs", F.lit(0)).alias("ref"))
+
+
 @query("select event_id, contains(props, '\"gold') or regexp_matches(props, '\"(answer_key|label)\"') as leaks from events")
 def gold_leakage(spark, sf_dir):
     return X.table(spark, sf_dir, "events").select("event_id", R.leaks_gold(F.col("props")).alias("leaks"))
