@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import prefix as P
+
 # What a text may not carry into training data.
 SECRETS = (("email", r"[A-Za-z0-9._-]+@[A-Za-z0-9-]+\.[A-Za-z]{2,}"), ("credential", r"(?i)(password|secret|token|api[_-]?key)\s*[:=]"), ("address", r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}"), ("path", r"[A-Za-z]:\\|/home/|/root/"))
 
@@ -22,19 +24,68 @@ def stable_subset(rows: DataFrame, key: str, seed: str, n: int) -> DataFrame:
 
 
 def split_by_key(key: Column, seed: str) -> Column:
-    """train, dev or test in parts of 80, 10 and 10 percent, by the hash's last byte (of 250; rest goes to train)."""
-    part = F.conv(F.substring(stable_key(key, seed), 63, 2), 16, 10).cast("int")
-    return F.when(part < 26, "test").when(part < 52, "dev").otherwise("train")
-
-
-def interleave(rows: DataFrame, group: str, *order: Column) -> DataFrame:
-    """Round robin over the groups: place is the row's position in the mix."""
-    ranked = rows.withColumn("turn", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
-    # Places by counting rows of earlier turns, so that no window spans all rows.
-    per_turn = ranked.groupBy("turn").agg(F.count("*").alias("n"))
-    before = per_turn.withColumn("base", F.sum("n").over(Window.orderBy("turn")) - F.col("n")).select("turn", "base")
-    within = ranked.withColumn("k", F.row_number().over(Window.partitionBy("turn").orderBy(group)))
-    return within.join(before, "turn").withColumn("place", F.col("base") + F.col("k")).drop("turn", "k", "base")
+    """train, dev or test in parts of 80, 10 and 10 percent, by the hash's last eight bytes modulo ten."""
+    part = F.conv(F.substring(stable_key(key, seed), 49, 16), 16, 10).cast("decimal(20,0)") % 10
+    return F.when(part == 0, "test").when(part == 1, "dev").otherwise("train")
+
+
+def interleave(rows: DataFrame, group: str, order: str, *ties: str) -> DataFrame:
+    """Round robin over the groups: place is the row's position in the mix. A group's rows are ranked by ranges of their keys, so that
+    no group is one task's."""
+    names = [r[0] for r in rows.select(group).distinct().collect()]  # as many as there are groups
+    parts = [P.running(rows.where(F.col(group).eqNullSafe(n)), order, list(ties), name="turn") for n in names]
+    if not parts:
+        return rows.withColumn("place", F.lit(0).cast("long"))
+    ranked = reduce(DataFrame.unionByName, parts)
+    per_turn = P.running(ranked.groupBy("turn").agg(F.count("*").alias("n")), "turn", [], F.col("n"), "base").select("turn", (F.col("base") - F.col("n")).alias("base"))
+    within = ranked.withColumn("k", F.row_number().over(Window.partitionBy("turn").orderBy(group)))  # a row a group
+    return within.join(per_turn, "turn").withColumn("place", F.col("base") + F.col("k")).drop("turn", "k", "base")
+
+
+def windows_to_target(windows: DataFrame, key: str, bucket: str, size: str, preferred: str, baseline: str, target: int, most: int, seed: str) -> DataFrame:
+    """The windows (all columns) that are chosen, with place (from 1; baseline windows have none) and upto (sizes so far).
+
+    Baseline windows come first, whatever their sizes. Then, until the sizes sum to the target, the next one is of the bucket with the
+    fewest so far; of equals a preferred one, then by a stable hash. One that would take the sum over `most` is left out. In
+    distributed form: each bucket's rows are ranked, which gives their order in the mix, and running totals tell where the target lies. Where a
+    window is too large, all that are at that point go, and the rest goes on from there: at most as many rounds as there are sizes.
+    Keys are unique; null sizes count 0.
+    """
+    n = F.coalesce(F.col(size).cast("long"), F.lit(0).cast("long"))
+    given = windows.withColumns({"__n": n, "__rest": F.when(F.col(preferred), 0).otherwise(1), "__hash": stable_key(F.col(key), seed)}).withColumn("__hash", F.concat(F.col("__rest").cast("string"), "__hash"))
+    fixed = given.where(F.coalesce(F.col(baseline), F.lit(False)))
+    waiting = given.where(~F.coalesce(F.col(baseline), F.lit(False)))
+    counts = dict(fixed.groupBy(bucket).count().collect())  # a row a bucket
+    total = fixed.agg(F.sum("__n")).first()[0] or 0
+    chosen, places = [fixed.withColumns({"place": F.lit(None).cast("long"), "upto": F.lit(None).cast("long")})], 0
+    names = [r[0] for r in waiting.select(bucket).distinct().collect()]
+    while total < target:
+        waiting = waiting.where(F.col("__n") <= most - total)
+        parts = [P.running(waiting.where(F.col(bucket).eqNullSafe(b)), "__hash", [key], name="__turn").withColumn("__turn", F.col("__turn") + counts.get(b, 0)) for b in names]
+        if not parts:
+            break
+        mixed = reduce(DataFrame.unionByName, parts)
+        turns = P.running(mixed.groupBy("__turn").agg(F.sum("__n").alias("__sum")), "__turn", [], F.col("__sum"), "__all").select("__turn", (F.col("__all") - F.col("__sum")).alias("__before"))
+        own = Window.partitionBy("__turn").orderBy("__hash", key).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a row a bucket
+        summed = mixed.withColumn("__in", F.sum("__n").over(own)).join(turns, "__turn").withColumn("upto", F.col("__before") + F.col("__in") + total)
+        before = F.col("upto") - F.col("__n")
+        # The first window that is too large where it stands ends this round; those before it are chosen up to the target.
+        stop = summed.where((before < target) & (F.col("upto") > most)).agg(F.min(F.struct("__turn", "__hash", key)).alias("s")).first()["s"]
+        took = summed.where(before < target)
+        if stop is not None:
+            at = [F.lit(v).cast(took.schema[c].dataType) for c, v in zip(("__turn", "__hash", key), stop, strict=True)]
+            took = took.where(F.struct("__turn", "__hash", key) < F.struct(*[a.alias(c) for a, c in zip(at, ("__turn", "__hash", key), strict=True)]))
+        took = took.persist()
+        rows = took.groupBy(bucket).agg(F.count("*"), F.sum("__n")).collect()  # a row a bucket
+        placed = P.running(took, "__turn", ["__hash", key], name="place").withColumn("place", F.col("place") + places)
+        chosen.append(placed.select(*given.columns, "place", "upto"))
+        places, total = places + sum(r[1] for r in rows), total + sum(r[2] for r in rows)
+        for b, k, _ in rows:
+            counts[b] = counts.get(b, 0) + k
+        if stop is None:
+            break
+        waiting = waiting.join(took.select(key), key, "left_anti")
+    return reduce(DataFrame.unionByName, chosen).drop("__n", "__rest", "__hash")
 
 
 def quota(rows: DataFrame, group: str, quotas: dict[str, int], *order: Column) -> DataFrame:
@@ -86,7 +137,7 @@ def decoys(boards: DataFrame, key: str, order: str, answer: str, text: str, reac
     Those still without a decoy go on alone, over twice as many shifts, until the ring is used up.
     """
     total = boards.count()
-    placed = boards.withColumn("at", F.row_number().over(Window.orderBy(order, key)) - 1).persist()
+    placed = P.running(boards, order, [key], name="at").withColumn("at", F.col("at") - 1).persist()
     other = placed.select("at", F.col(key).alias("decoy"), F.col(text).alias("other"))
     # A null or empty answer is lacked by no text.
     waiting = placed.where(F.col(answer) != "").select(key, answer, "at")

@@ -145,9 +145,10 @@ def question_hints(spark, sf_dir):
     return asked.select(F.col("qid").cast("long").alias("qid"), D.evidence_types(q)[0].alias("first_type"), D.answer_hint(q).alias("hint"))
 
 
-@query(r"""select distinct qid, lower(unnest(list_concat(list_concat(regexp_extract_all(question, '\b(?:19|20)\d{2}\b'), regexp_extract_all(question, '\b\d+(?:\.\d+)?%?\b')), regexp_extract_all(question, '[A-Za-z][A-Za-z0-9_-]+|[\x{4e00}-\x{9fff}]+')))) as keyword from intents""", X.INTENTS_SQL)
+@query(r"""select distinct qid, lower(unnest(list_concat(list_concat(regexp_extract_all(question, '\b(?:19|20)\d{2}\b'), regexp_extract_all(question, '\b\d+(?:\.\d+)?%?\b')), regexp_extract_all(question, '[A-Za-z][A-Za-z0-9_-]+|[\x{4e00}-\x{9fff}]+')))) as keyword from (select * from intents union all select qid + 1000, question from questions)""", X.INTENTS_SQL, X.QUESTIONS)
 def query_rewrite(spark, sf_dir):
-    return X.intents(spark).select(F.col("qid"), F.explode(D.keywords(F.col("question"))).alias("keyword"))
+    asked = X.intents(spark).union(X.questions(spark, sf_dir).select(F.col("qid") + 1000, "question"))
+    return asked.select(F.col("qid").cast("long").alias("qid"), F.explode(D.keywords(F.col("question"))).alias("keyword"))
 
 
 TABLES = """tables as (select status, '| year | orders | total |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg('| ' || year || ' | ' || n || ' | ' || total || ' |', chr(10) order by year) as table_text from year_rows group by 1)"""

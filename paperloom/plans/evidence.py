@@ -74,11 +74,25 @@ def answer_buckets(spark, sf_dir):
     return rows.select("qid", F.when(F.col("covered").isNull(), "G_unavailable").when(F.col("first").isNull(), "A_retrieval_miss").when(right, "F_right").otherwise("E_wrong").alias("bucket"))
 
 
-@query(r"""select qid, case when trim(regexp_extract(text, p, 1)) <> '' then trim(regexp_extract(text, p, 1)) else left(split_part(text, chr(10), 1), 120) end as answer from (
-select qid, text, '(?i)(?:answer|date|revenue|invoice(?: no)?|total)[:：]\s*([A-Za-z0-9$.,% -]+)' as p from best where rank = 1 and not contains(question, 'date') and not contains(question, 'revenue') and not contains(question, 'total') and not contains(question, 'amount'))""".replace(", p, 1)", r", '(?i)(?:answer|date|revenue|invoice(?: no)?|total)[:：]\s*([A-Za-z0-9$.,% -]+)', 1)"), *BEST)
+VALUE = r"[:：]\s*([A-Za-z0-9$.,% -]+)"
+
+
+@query(rf"""select qid, case when trim(found) <> '' then trim(found) else left(split_part(text, chr(10), 1), 120) end as answer from (select qid, text, case when contains(low, 'date') then regexp_extract(text, '(?i)(?:invoice\s+date|date){VALUE}', 1)
+when contains(low, 'revenue') or contains(low, 'total') or contains(low, 'amount') then regexp_extract(text, '(?i)(?:revenue|total|amount){VALUE}', 1) else regexp_extract(text, '(?i)(?:answer|date|revenue|invoice(?: no)?|total){VALUE}', 1) end as found from (select *, lower(question) as low from best where rank = 1))""", *BEST)
 def heuristic_answer(spark, sf_dir):
-    rows = best(spark, sf_dir, 1).where(~T.any_in(F.col("question"), ("date", "revenue", "total", "amount")))
-    return rows.select("qid", E.heuristic_answer(F.col("question"), F.col("text")).alias("answer"))
+    return best(spark, sf_dir, 1).select("qid", E.heuristic_answer(F.col("question"), F.col("text")).alias("answer"))
+
+
+@query(rf"""select client_id, candidate, case when trim(found) <> '' then trim(found) else left(split_part(text, chr(10), 1), 120) end as answer from (select client_id, candidate, text, case when client_id % 4 = 0 then regexp_extract(text, '(?i)(?:invoice\s+date|date){VALUE}', 1) when client_id % 4 = 1 then regexp_extract(text, '(?i)(?:revenue|total|amount){VALUE}', 1)
+else regexp_extract(text, '(?i)(?:answer|date|revenue|invoice(?: no)?|total){VALUE}', 1) end as found from (select client_id, sale_id as candidate, 'Sale ' || sale_id || chr(10) || case sale_id % 3 when 0 then 'Invoice  Date: ' || strftime(sold_at, '%Y-%m-%d') || chr(10) || 'Amount: $' || printf('%.2f', total) when 1 then 'Total: ' || printf('%.2f', total) || ';' else 'Answer: ' || status || chr(10) || 'Revenue: none' end as text from sales where client_id is not null and sale_id is not null and sold_at is not null and total is not null and not isnan(total) and status is not null))""")
+def labelled_answers(spark, sf_dir):
+    """Answers after the label that the question asks for, on the texts of all whole sales: each of its branches."""
+    sales = X.table(spark, sf_dir, "sales").where("client_id is not null and sale_id is not null and sold_at is not null and total is not null and not isnan(total) and status is not null")
+    asked = F.get(F.array(*map(F.lit, ("On what date was it?", "What is the total?", "Who was it?", "What was it?"))), (F.col("client_id") % 4).cast("int"))
+    price, n = F.format_string("%.2f", "total"), F.col("sale_id")
+    lines = F.when(n % 3 == 0, F.concat(F.lit("Invoice  Date: "), F.date_format("sold_at", "yyyy-MM-dd"), F.lit("\nAmount: $"), price)).when(n % 3 == 1, F.concat(F.lit("Total: "), price, F.lit(";"))).otherwise(F.concat(F.lit("Answer: "), F.col("status"), F.lit("\nRevenue: none")))
+    text = F.concat(F.lit("Sale "), n.cast("string"), F.lit("\n"), lines)
+    return sales.select("client_id", F.col("sale_id").alias("candidate"), E.heuristic_answer(asked, text).alias("answer"))
 
 
 FLAT = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"

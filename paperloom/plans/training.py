@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import prefix as P
 from ..operators import training as D
 from . import fixtures as X
 from .registry import query
 
 KEY = "sha256('{seed}' || chr(0) || {key}::varchar)"
-BYTE = "('0x' || substr({}, 63, 2))::int"
+PART = "('0x' || substr({}, 49, 16))::ubigint % 10"
 
 
 def docs(spark, sf_dir):
@@ -22,7 +23,7 @@ def stable_subset(spark, sf_dir):
     return D.stable_subset(docs(spark, sf_dir).select("doc_id"), "doc_id", "subset", 100)
 
 
-SPLIT = f"split as (select doc_id, text, case when {BYTE.format(KEY.format(seed='split', key='doc_id'))} < 26 then 'test' when {BYTE.format(KEY.format(seed='split', key='doc_id'))} < 52 then 'dev' else 'train' end as part from documents)"
+SPLIT = f"split as (select doc_id, text, case {PART.format(KEY.format(seed='split', key='doc_id'))} when 0 then 'test' when 1 then 'dev' else 'train' end as part from documents)"
 
 
 @query("select doc_id, part from split", SPLIT)
@@ -44,7 +45,7 @@ def mixed_pack_quota(spark, sf_dir):
 
 @query("select doc_id, lang, row_number() over (order by turn, lang) as place from (select doc_id, lang, row_number() over (partition by lang order by doc_id) as turn from documents)")
 def interleave(spark, sf_dir):
-    return D.interleave(docs(spark, sf_dir).select("doc_id", "lang"), "lang", F.col("doc_id"))
+    return D.interleave(docs(spark, sf_dir).select("doc_id", "lang"), "lang", "doc_id")
 
 
 def issue(i):
@@ -128,3 +129,30 @@ def corpus_errors(spark, sf_dir):
     marked = rows.join(many, "h", "left").join(again, "doc_id", "left")
     error = F.when(F.col("doc_id").isNull(), "missing_id").when(F.col("ids") > 1, "duplicate_id").when(F.col("plain") == "", "empty_text").when(F.col("n") > 1, "duplicate_text")
     return marked.select("doc_id", error.alias("error")).where("error is not null")
+
+
+WINDOWS = """windows as (select conv_id, count(*) as pages, count(*) filter (role = 'user') as questions, case when count(*) <= 2 then 'one' when count(*) <= 4 then 'few' else 'many' end as bucket, conv_id % 5 = 0 as preferred, conv_id % 10 = 3 as baseline from conversations where conv_id is not null group by 1),
+limits as (select (sum(questions) * 2 // 5)::bigint as target from windows)"""
+
+
+@query(f"""select conv_id, bucket, questions, place, upto from (select *, row_number() over w as place, sum(questions) over (w rows unbounded preceding) + (select coalesce(sum(questions), 0) from windows where baseline) as upto from (
+select *, row_number() over (partition by bucket order by not preferred, h, conv_id) + (select count(*) from windows b where b.baseline and b.bucket = x.bucket) as turn from (select *, {KEY.format(seed='more', key='conv_id')} as h from windows where not baseline) x) window w as (order by turn, not preferred, h, conv_id)), limits where upto - questions < target
+union all select conv_id, bucket, questions, null, null from windows where baseline""", WINDOWS)
+def windows_to_target(spark, sf_dir):
+    """Conversations as windows: two fifths of all questions, from short, middle and long ones in turn."""
+    pages = F.count("*")
+    bucket = F.when(pages <= 2, "one").when(pages <= 4, "few").otherwise("many")
+    turns = X.table(spark, sf_dir, "conversations").where("conv_id is not null")
+    windows = turns.groupBy("conv_id").agg(F.count_if(F.col("role") == "user").alias("questions"), bucket.alias("bucket"))
+    windows = windows.withColumns({"preferred": F.col("conv_id") % 5 == 0, "baseline": F.col("conv_id") % 10 == 3})
+    whole = windows.agg(F.sum("questions")).first()[0] or 0
+    chosen = D.windows_to_target(windows, "conv_id", "bucket", "questions", "preferred", "baseline", whole * 2 // 5, whole, "more")
+    return chosen.select("conv_id", "bucket", "questions", "place", "upto")
+
+
+@query("select order_key as o_orderkey, rank, total from (select o_orderkey as order_key, row_number() over (order by o_totalprice, o_orderkey) as rank, sum(o_custkey) over (order by o_totalprice, o_orderkey rows unbounded preceding)::bigint as total from orders)")
+def running_totals(spark, sf_dir):
+    """Rank and running total of all orders by price, without a window over all rows."""
+    orders = X.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    summed = P.running(orders, "o_totalprice", ["o_orderkey"], F.col("o_custkey"), "total")
+    return P.running(summed, "o_totalprice", ["o_orderkey"], name="rank").select("o_orderkey", "rank", "total")
