@@ -20,13 +20,28 @@ DATES = (
 # Terms and patterns of questions.
 TABLE_TERMS = ("average", "calculated", "change", "decrease", "increase", "largest", "less", "more", "percentage", "ratio", "smallest", "table", "total", "value", "amount", "revenue", "sales", "year", "years")
 VISUAL_TERMS = ("chart", "figure", "image", "infographic", "visual")
+MEASURES = "(revenue|sales|income|profit|expense|cost|value|amount|rate)"
 ROUTES = (
-    ("document_statistics", r"\b(how many|number of|count)\b.*\b(pages?|tables?|images?|figures?|blocks?)\b|\b(pages?|tables?|images?|figures?|blocks?)\b.*\b(count|number)\b"),
-    ("page_lookup", r"\b(page|p\.)\s*\d+\b|\blist\s+(all\s+)?pages\b"),
+    (
+        "document_statistics",
+        r"\b(how many|number of|count|page count)\b.*\bpages?\b|\bpages?\b.*\b(count|number)\b"
+        r"|\b(how many|number of|count|table count)\b.*\btables?\b|\btables?\b.*\b(count|number)\b"
+        r"|\b(how many|number of|count|image count|figure count)\b.*\b(images?|figures?|image regions?|figure regions?)\b|\b(images?|figures?)\b.*\b(count|number|detected)\b"
+        r"|\b(how many|number of|count)\b.*\b(ocr\s+)?blocks?\b|\bblocks?\b.*\b(count|number|stored)\b",
+    ),
+    ("page_lookup", r"\b(page|p\.)\s*\d+\b|\b(show|display|text from|what is on|summarize)\b.*\bpage\s*\d+\b|\blist\s+(all\s+)?pages\b"),
     ("structured_extraction", r"\b(extract|list|show)\s+all\b.*\b(tables?|figures?|images?|dates?|sections?|headings?)\b|\blist\s+(section\s+)?headings\b|\b(document\s+)?outline\b"),
-    ("document_summary", r"\b(summarize|summary|overview|recap|abstract|takeaways?)\b|\bwhat is this (pdf|document|file)( mainly)? about\b|\bkey points?\b|\bmain points?\b"),
+    (
+        "document_summary",
+        r"\b(summarize|summary|overview|recap|abstract|takeaways?)\b|\bwhat is this (pdf|document|file)( mainly)? about\b|\bkey points?\b|\bmain points?\b"
+        r"|总结|概括|摘要|主要内容|主要讲什么|这份(文件|文档).*讲什么",
+    ),
     ("visual_question", r"\b(chart|graph)\b.*\b(color|trend|shown|look like|mean)\b|\bwhat is shown\b.*\b(picture|image|figure)\b|\b(picture|image|figure)\b.*\b(show|shown|depict|look like)\b"),
-    ("table_or_calculation", r"\b(row|column|highest|lowest|maximum|minimum|difference|sum|average|ratio|percent change|growth)\b|\b(revenue|sales|income|profit|expense|cost|value|amount|rate)\b.*\b(19|20)\d{2}\b"),
+    (
+        "table_or_calculation",
+        r"\b(row|column|highest|lowest|maximum|minimum|difference|sum|average|ratio|percent change|growth)\b"
+        rf"|\b{MEASURES}\b.*\b(19|20)\d{{2}}\b|\b(19|20)\d{{2}}\b.*\b{MEASURES}\b",
+    ),
 )
 AMBIGUOUS = ("help", "help me", "can you help", "can you help me", "what about this", "tell me about it")
 

@@ -43,6 +43,7 @@ PREDICTIONS = r"""predictions as (select item_id as qid, text as gold, array_to_
 INTENTS = (
     "How many pages are in this document?", "How many tables does it have?", "What is on page 3?", "List all pages", "Extract all tables", "List section headings", "Give me an overview", "Summarize page 4",
     "What is this document about?", "What is shown in the picture?", "Which row has the highest value?", "What was the revenue in 2019?", "Help me", "Who signed the letter?", "Show the outline", "What is the average cost and then the total",
+    "总结这份文件", "In 2019, what was the revenue?", "Show the text from page 7", "How many figure regions were detected?", "这份文档讲什么", "Which OCR blocks are stored?",
 )
 
 
