@@ -29,6 +29,37 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if few(df, rows) else df
 
 
+def holding(texts: DataFrame, parts: DataFrame, key: str, text: str, part_key: str, part: str, anchor: int = 4) -> DataFrame:
+    """texts' columns and parts' columns of each pair where the text holds the part as it is written.
+
+    Whoever holds a part holds its words but the first and last whole and in order; so a run of them, of up to `anchor` words, is what
+    texts and parts meet by. Parts of one or two words have no such run: they alone are held against every text. Blank parts are
+    held by none. If the parts are more than can be broadcast, texts meet them by the run alone and are read again for the pairs.
+    """
+    words = lambda c: F.regexp_extract_all(F.col(c), F.lit(r"\S+"), F.lit(0))
+    run = lambda w, first, k: F.xxhash64(k, F.array_join(F.slice(w, first, k), " "))
+    asked = parts.where(F.trim(part) != "").withColumn("__w", words(part)).withColumn("__k", F.least(F.size("__w") - 2, F.lit(anchor)))
+    long = asked.where("__k > 0").withColumn("__run", run(F.col("__w"), F.lit(2), F.col("__k"))).drop("__w", "__k")
+    sizes = sorted(r[0] for r in asked.where("__k > 0").select("__k").distinct().collect())  # at most `anchor` numbers
+    given = texts.withColumn("__w", words(text))
+
+    def runs_of(k: int) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.size("__w") - k + 1), lambda i: run(F.col("__w"), i, F.lit(k)))
+        return F.when(F.size("__w") >= k, every).otherwise(F.array().cast("array<bigint>"))
+
+    runs = [runs_of(k) for k in sizes]
+    own = given.withColumn("__run", F.explode(F.array_distinct(F.flatten(F.array(*runs))) if runs else F.array().cast("array<bigint>"))).drop("__w")
+    if few(long):
+        met = own.join(F.broadcast(long), "__run")
+    else:
+        pairs = own.select(key, "__run").join(long.select(part_key, "__run"), "__run").select(key, part_key).distinct()
+        met = pairs.join(long, part_key).join(texts, key)
+    names = [*texts.columns, *parts.columns]
+    found = met.where(F.contains(text, part)).select(*names)
+    short = asked.where("__k <= 0").select(*parts.columns)
+    return found if short.isEmpty() else found.union(texts.join(short, F.contains(text, part)).select(*names))
+
+
 def postings(blocks: DataFrame, key: str = "block_id", text: str = "text", scope: tuple[str, ...] = ()) -> DataFrame:
     """scope, key, term, tf and doc_len: one row for each distinct term of a block."""
     cut = blocks.select(*scope, key, T.tokens(F.col(text)).alias("terms"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import documents as D
+from ..operators import retrieval as R
 from . import fixtures as X
 from .registry import query
 
@@ -54,7 +55,7 @@ select qid, t, strpos(lower(t), lower(a)) - 1 as s, length(a) as n, greatest((30
 row_number() over (partition by qid order by doc_id) as k from questions q join documents d on contains({FLAT.format('d.text')}, left({FLAT.format('q.answer')}, 60))) where k = 1)))""", X.QUESTIONS)
 def centered_window(spark, sf_dir):
     asked = X.questions(spark, sf_dir).select("qid", F.substring(T.collapse(F.col("answer")), 1, 60).alias("a"))
-    held = docs(spark, sf_dir).select("doc_id", T.collapse(F.col("text")).alias("t")).join(F.broadcast(asked), F.contains("t", "a"))
+    held = R.holding(docs(spark, sf_dir).select("doc_id", T.collapse(F.col("text")).alias("t")), asked, "doc_id", "t", "qid", "a")
     first = D.latest(held.withColumn("neg", -F.col("doc_id")), "qid", "neg")
     return first.select("qid", T.centered_window(F.col("t"), F.col("a"), 300).alias("part"))
 

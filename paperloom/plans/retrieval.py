@@ -34,9 +34,9 @@ def bm25_search(spark, sf_dir):
 
 
 def gold_blocks(spark, sf_dir):
-    """Blocks that hold the first line of a passage; the passages are a bounded set held against all rows."""
+    """Blocks that hold the first line of a passage."""
     asked = X.questions(spark, sf_dir).select("qid", F.substring_index("answer", "\n", 1).alias("first"))
-    return X.blocks(spark, sf_dir).join(F.broadcast(asked), F.contains("text", "first")).select("qid", "block_id")
+    return R.holding(X.blocks(spark, sf_dir).select("block_id", "text"), asked, "block_id", "text", "qid", "first").select("qid", "block_id")
 
 
 @query("""select count(*) as n, round(avg((first is not null)::int), 6) as recall, round(avg(coalesce(1.0 / first, 0)), 6) as mrr from (

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import prefix as P
+from ..operators import retrieval as R
 from ..operators import training as D
 from . import fixtures as X
 from .registry import query
@@ -102,8 +103,8 @@ def decoy_negatives(spark, sf_dir):
 
 @query("""select item_id, count(distinct d.doc_id) as docs, count(distinct d.doc_id) > 0 as covered from benchmark b left join documents d on contains(d.text, b.text) group by 1""")
 def gold_coverage(spark, sf_dir):
-    items = X.table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"))  # a bounded set held against all rows
-    hits = docs(spark, sf_dir).join(F.broadcast(items), F.contains("text", "passage")).groupBy("item_id").agg(F.countDistinct("doc_id").alias("docs"))
+    items = X.table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"))
+    hits = R.holding(docs(spark, sf_dir).select("doc_id", "text"), items, "doc_id", "text", "item_id", "passage").groupBy("item_id").agg(F.countDistinct("doc_id").alias("docs"))
     return items.select("item_id").join(hits, "item_id", "left").select("item_id", F.coalesce("docs", F.lit(0)).alias("docs"), F.col("docs").isNotNull().alias("covered"))
 
 

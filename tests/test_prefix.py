@@ -51,3 +51,20 @@ def test_windows_against_one_at_a_time(spark):
 def test_split_shares(spark):
     parts = spark.range(20_000).select(training.split_by_key(F.col("id"), "s").alias("p")).groupBy("p").count()
     assert {r.p: round(r["count"] / 20_000, 2) for r in parts.collect()} == {"train": 0.8, "dev": 0.1, "test": 0.1}
+
+
+def test_holding_against_every_pair(spark):
+    from paperloom.operators import retrieval
+
+    rng = random.Random(3)
+    words = ["a", "b", "ab", "ba", "c.", "ü", "b,"]
+    texts = [(i, rng.choice([" ", "  ", "\n"]).join(rng.choices(words, k=rng.randint(0, 30)))) for i in range(80)] + [(80, None), (81, "")]
+    parts = [(i, " ".join(rng.choices(words, k=rng.randint(1, 7)))[rng.randint(0, 1) :]) for i in range(120)] + [(120, None), (121, " "), (122, "b a")]
+    want = {(t, p) for t, text in texts for p, part in parts if part and part.strip(" ") and text is not None and part in text}
+    for least in (0, 10**6):
+        few, retrieval.few = retrieval.few, lambda df, rows=0, least=least: least > 0
+        try:
+            got = retrieval.holding(spark.createDataFrame(texts, "t long, text string"), spark.createDataFrame(parts, "p long, part string"), "t", "text", "p", "part")
+            assert {(r.t, r.p) for r in got.collect()} == want
+        finally:
+            retrieval.few = few
