@@ -98,7 +98,7 @@ TRUTH = f"""truth as (select *, {OPERATIONS} as operation, case cust % 7 when 0
   when 4 then (y[-1].n - y[1].n)::double when 5 then open / whole * 100 else (high - low)::double end as result from customers where a < b)"""
 
 
-@query("""select cust as qid, operation, round(result, 6) as result, 'The ' || replace(operation, '_', ' ') || ' is ' || case when round(result, 6) = floor(round(result, 6)) then round(result, 6)::bigint::varchar else rtrim(rtrim(printf('%.4f', round(result, 6)), '0'), '.') end || case when starts_with(operation, 'percentage') then '%' else '' end || '.' as text from truth""", YEARLY, CUSTOMERS, TRUTH)
+@query("""select cust as qid, operation, round(result, 6) as result, 'The ' || replace(operation, '_', ' ') || ' is ' || case when round(result, 6) = floor(round(result, 6)) then round(result, 6)::bigint::varchar else rtrim(rtrim(round(round(result, 6)::decimal(30, 6), 4)::varchar, '0'), '.') end || case when starts_with(operation, 'percentage') then '%' else '' end || '.' as text from truth""", YEARLY, CUSTOMERS, TRUTH)
 def table_answers(spark, sf_dir):
     """A question about two years, a share or the ends: table, row and column are chosen by its words alone; SQL knows the orders."""
     best = B.best_tables(asked_tables(spark, sf_dir))
