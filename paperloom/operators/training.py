@@ -104,6 +104,19 @@ def largest_remainder(shares: dict[str, float], total: int) -> dict[str, int]:
     return out
 
 
+def backfilled(quotas: dict[str, int], have: dict[str, int], total: int) -> dict[str, int]:
+    """Quotas cut to what each group has, and what is then missing of the total filled up a row at a time from the groups with rows left,
+    in the order of their names, round by round; fewer than the total where all groups are used up."""
+    out = {k: min(q, have.get(k, 0)) for k, q in quotas.items()}
+    missing = total - sum(out.values())
+    while missing > 0 and (open_ := sorted(k for k in out if have.get(k, 0) > out[k])):
+        rounds = min(missing // len(open_), min(have[k] - out[k] for k in open_))
+        for k in open_ if rounds else open_[:missing]:
+            out[k] += rounds or 1
+        missing = total - sum(out.values())
+    return out
+
+
 def audit(records: DataFrame, text: str) -> DataFrame:
     """records with issues: an array of what is wrong with each text."""
     t = F.col(text)

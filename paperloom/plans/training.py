@@ -44,6 +44,20 @@ def mixed_pack_quota(spark, sf_dir):
     return D.quota(docs(spark, sf_dir).select("doc_id", "lang"), "lang", quotas, D.stable_key(F.col("doc_id"), "mix"), F.col("doc_id"))
 
 
+FILLED = """numbered as (select doc_id, lang, row_number() over (partition by lang order by {KEY_}, doc_id) as n, (select count(*) * 6 // 100 from documents) as t from documents where lang in ('en', 'es', 'de')),
+quotas as (select *, n - t * case lang when 'en' then 4 when 'es' then 5 else 1 end as over_ from numbered)"""
+
+
+@query("select doc_id, lang from quotas where over_ <= 0 union all select doc_id, lang from (select *, row_number() over (order by over_, lang) as k from quotas where over_ > 0) where k <= t * 10 - (select count(*) from quotas where over_ <= 0)", FILLED.replace("{KEY_}", KEY.format(seed="fill", key="doc_id")))
+def mixed_pack_filled(spark, sf_dir):
+    """A mix of six tenths of the documents in three languages, of which one has too few: the others fill up."""
+    rows = docs(spark, sf_dir).select("doc_id", "lang")
+    total = rows.count() * 6 // 100 * 10
+    have = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    quotas = D.backfilled(D.largest_remainder({"en": 0.4, "es": 0.5, "de": 0.1}, total), have, total)
+    return D.quota(rows, "lang", quotas, D.stable_key(F.col("doc_id"), "fill"), F.col("doc_id"))
+
+
 @query("select doc_id, lang, row_number() over (order by turn, lang) as place from (select doc_id, lang, row_number() over (partition by lang order by doc_id) as turn from documents)")
 def interleave(spark, sf_dir):
     return D.interleave(docs(spark, sf_dir).select("doc_id", "lang"), "lang", "doc_id")

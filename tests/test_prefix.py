@@ -68,3 +68,15 @@ def test_holding_against_every_pair(spark):
             assert {(r.t, r.p) for r in got.collect()} == want
         finally:
             retrieval.few = few
+
+
+def test_backfill_a_row_at_a_time():
+    rng = random.Random(4)
+    for _ in range(200):
+        quotas, have, total = {k: rng.randint(0, 9) for k in "abcd"}, {k: rng.randint(0, 15) for k in "abc"}, rng.randint(0, 60)
+        want = {k: min(q, have.get(k, 0)) for k, q in quotas.items()}
+        while sum(want.values()) < total and any(have.get(k, 0) > want[k] for k in want):
+            for k in sorted(want):
+                if sum(want.values()) < total and have.get(k, 0) > want[k]:
+                    want[k] += 1
+        assert training.backfilled(quotas, have, total) == want
