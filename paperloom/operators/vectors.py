@@ -50,6 +50,8 @@ def fit(vectors: DataFrame, sample: int = SAMPLE, rounds: int = 8) -> np.ndarray
     n = usable.count()
     drawn = usable.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select(F.col("embedding").cast("array<double>").alias("v")).toArrow()
     units = matrix(drawn.column("v").combine_chunks())
+    if not len(units):
+        return units
     k = max(1, min(MAX_CELLS, int(n**0.5), len(units)))
     centres = units[:k].copy()
     for _ in range(rounds):
@@ -87,7 +89,7 @@ def open_cells(index: Index, queries: DataFrame) -> DataFrame:
     def aim(batches):
         for batch in batches:
             units = matrix(batch.column("v"))
-            angles = np.arccos(np.clip(units @ centres.T, -1, 1)) if len(units) else np.zeros((0, 1))
+            angles = np.arccos(np.clip(units @ centres.T, -1, 1)) if len(units) and len(centres) else np.zeros((len(units), 0))
             yield pa.RecordBatch.from_arrays([batch.column("qid"), pa.array(list(units), pa.list_(pa.float64())), pa.array(list(angles), pa.list_(pa.float64()))], ["qid", "query_unit", "angles"])
 
     kind = queries.schema["qid"].dataType.simpleString()

@@ -30,10 +30,11 @@ def vector_index_topk(spark, sf_dir):
 
 @query()
 def vector_index_recall(spark, sf_dir):
-    """Recall of the probed cells alone against the exact search."""
+    """n and recall against all pairs: of the first cells alone, and of the search with the cells that its bound leaves."""
     vectors, queries = embedded(spark, sf_dir)
-    index = V.build(vectors)
-    return V.recall(V.search(index, queries, 10, exact=False, skip_self=True), R.dense_top(vectors, queries, 10))
+    index, wanted = V.build(vectors), R.dense_top(vectors, queries, 10)
+    parts = [V.recall(V.search(index, queries, 10, exact=exact, skip_self=True), wanted).select(F.lit(step).alias("step"), "n", "recall") for step, exact in (("first_cells", False), ("bounded", True))]
+    return parts[0].union(parts[1])
 
 
 HASHED = """(select {key}, cell, n / sqrt(sum(n * n) over (partition by {key})) as weight from (select {key}, ('0x' || substr(sha256(term), 15, 2))::int as cell, count(*)::double as n from {terms} group by 1, 2))"""
