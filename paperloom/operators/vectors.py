@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..sources.scratch import written
 from . import retrieval as R
@@ -17,6 +19,8 @@ SAMPLE = 20_000
 MAX_CELLS = 4096
 #: Cells are read in parts, so that one with many rows is no single task's.
 SALTS = 8
+#: Passes over the index for blocks of R.QUERY_BLOCK queries; more queries than that meet the cells by a join.
+MAX_PASSES = 32
 #: Slack of comparisons, over what scores are rounded to.
 SLACK = 2e-6
 
@@ -100,12 +104,60 @@ def open_cells(index: Index, queries: DataFrame) -> DataFrame:
     return both.select("qid", "query_unit", "cell", "toward", F.greatest(F.lit(0.0), F.col("toward") - F.col("far"), F.col("near") - F.col("toward")).alias("bound"), "n")
 
 
-def scored(index: Index, probes: DataFrame, skip_self: bool, least: bool) -> DataFrame:
-    """qid, vec_id, score of the vectors in the probed cells; with `least`, those that a bound keeps under it aren't computed."""
-    if R.few(probes):
-        pairs = index.rows.join(F.broadcast(probes), "cell")
-    else:
-        pairs = index.rows.join(probes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["cell", "salt"])
+def scored(index: Index, probes: DataFrame, k: int, skip_self: bool, least: bool) -> DataFrame:
+    """qid, vec_id, score of the vectors in the probed cells, at least each query's k best of every task; with `least`, those that a
+    bound keeps under it aren't computed."""
+    blocks = -(-probes.select("qid").distinct().count() // R.QUERY_BLOCK)
+    if blocks > MAX_PASSES:
+        return joined(index, probes, skip_self, least)
+    parts = [multiplied(index, probes.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b), k, skip_self, least) for b in range(blocks)]
+    return reduce(DataFrame.union, parts) if parts else joined(index, probes, skip_self, least)
+
+
+def multiplied(index: Index, probes: DataFrame, k: int, skip_self: bool, least: bool) -> DataFrame:
+    """scored() for a block of about R.QUERY_BLOCK queries, which goes to every task: a product of matrices a batch of vectors."""
+    floor = F.first("least") if least else F.lit(-2.0)
+    drawn = probes.groupBy("qid").agg(F.first("query_unit").alias("unit"), F.collect_list(F.struct("cell", "toward")).alias("cells"), floor.alias("least")).toArrow().to_pydict()
+    asked, units, floors = drawn["qid"], np.array(drawn["unit"], float), np.array(drawn["least"], float)[:, None]
+    toward = np.full((len(asked), len(index.centroids)), np.nan)
+    for row, cells in enumerate(drawn["cells"]):
+        toward[row, [c["cell"] for c in cells]] = [c["toward"] for c in cells]
+    row_of = {q: row for row, q in enumerate(asked)}
+    opened = [int(c) for c in np.flatnonzero(~np.isnan(toward).all(axis=0))]
+
+    def best(batches):
+        for batch in batches:
+            if not batch.num_rows or not asked:
+                continue
+            ids = batch.column("vec_id").to_pylist()
+            own = batch.column("unit").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+            aim = toward[:, batch.column("cell").to_numpy()]
+            with np.errstate(invalid="ignore"):
+                fits = np.cos(np.abs(aim - batch.column("angle").to_numpy())) >= floors - SLACK  # never for cells that aren't opened
+            scores = np.where(fits, np.round(units @ own.T, 6) + 0.0, -np.inf)
+            if skip_self:
+                for at, i in enumerate(ids):
+                    if i in row_of:
+                        scores[row_of[i], at] = -np.inf
+            qids, found, values = [], [], []
+            for row, line in enumerate(scores):
+                kth = np.partition(line, len(line) - k)[len(line) - k] if k < len(line) else -np.inf
+                at = np.flatnonzero((line >= kth) & (line > -np.inf))
+                if len(at) > k:
+                    at = sorted(at, key=lambda i: (-line[i], ids[i]))[:k]
+                qids += [asked[row]] * len(at)
+                found += [ids[i] for i in at]
+                values += [float(line[i]) for i in at]
+            yield pa.RecordBatch.from_arrays([pa.array(qids, kinds[0]), pa.array(found, kinds[1]), pa.array(values, pa.float64())], ["qid", "vec_id", "score"])
+
+    kinds = [to_arrow_type(probes.schema["qid"].dataType), to_arrow_type(index.rows.schema["vec_id"].dataType)]
+    schema = f"qid {probes.schema['qid'].dataType.simpleString()}, vec_id {index.rows.schema['vec_id'].dataType.simpleString()}, score double"
+    return index.rows.where(F.col("cell").isin(opened)).mapInArrow(best, schema)
+
+
+def joined(index: Index, probes: DataFrame, skip_self: bool, least: bool) -> DataFrame:
+    """scored() for any number of queries: they meet the parts of the cells by a join."""
+    pairs = index.rows.join(probes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["cell", "salt"])
     if skip_self:
         pairs = pairs.where(F.col("vec_id") != F.col("qid"))
     if least:
@@ -125,14 +177,14 @@ def search(index: Index, queries: DataFrame, k: int, exact: bool = True, probes:
     order = Window.partitionBy("qid").orderBy("bound", "toward", "cell")
     cells = written(open_cells(index, queries).withColumn("place", F.row_number().over(order)).withColumn("before", F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))))
     first = (F.col("place") <= reach) | (F.col("before") < k + int(skip_self))
-    near = R.top(scored(index, cells.where(first), skip_self, False), k, "vec_id")
+    near = R.top(scored(index, cells.where(first), k, skip_self, False), k, "vec_id")
     if not exact:
         return near
     near = written(near)
     found = near.groupBy("qid").agg(F.count("*").alias("hits"), F.min("score").alias("kth"))
     least = F.when(F.col("hits") >= k, F.col("kth")).otherwise(F.lit(-2.0))
     rest = cells.where(~first).join(found, "qid", "left").withColumn("least", F.coalesce(least, F.lit(-2.0))).where(F.cos("bound") >= F.col("least") - SLACK)
-    more = scored(index, written(rest.select("qid", "query_unit", "cell", "toward", "least")), skip_self, True)
+    more = scored(index, written(rest.select("qid", "query_unit", "cell", "toward", "least")), k, skip_self, True)
     return R.top(near.select("qid", "vec_id", "score").union(more), k, "vec_id")
 
 
