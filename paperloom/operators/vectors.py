@@ -13,6 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..sources.scratch import written
 from . import retrieval as R
+from .retrieval import known, matrix
 
 #: Rows that centroids are fitted on, by a hash of their id; every row is indexed.
 SAMPLE = 20_000
@@ -34,20 +35,6 @@ class Index:
     cells: DataFrame
 
 
-def known(embedding: str) -> Column:
-    """Vectors that have a direction: not null, not empty, no null in them, not all zero."""
-    v = F.col(embedding)
-    return v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x)) & F.exists(v, lambda x: x != 0)
-
-
-def matrix(column: pa.Array) -> np.ndarray:
-    """Vectors of a batch as unit rows; all have to be of one length."""
-    if not len(column):
-        return np.zeros((0, 1))
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(len(column), -1)
-    return flat / np.linalg.norm(flat, axis=1, keepdims=True)
-
-
 def fit(vectors: DataFrame, sample: int = SAMPLE, rounds: int = 8) -> np.ndarray:
     """Unit centroids of about the square root of the number of vectors: spherical k-means on a bounded sample."""
     usable = vectors.where(known("embedding"))
@@ -213,12 +200,14 @@ def retrieve(blocks: DataFrame, planned: DataFrame, modes: tuple[str, ...] = MOD
     each = asked.select(F.col("asked").alias("qid"), "question")
     arms = []
     if set(modes) - {"dense"}:
-        lexical = R.bm25(blocks, each).where("score > 0")
-        arms.append(R.top(lexical, pool).select(F.lit("bm25").alias("family"), F.col("qid").alias("asked"), "block_id", "score", "rank"))
+        arms.append(R.bm25_top(blocks, each, pool).select(F.lit("bm25").alias("family"), F.col("qid").alias("asked"), "block_id", "score", "rank"))
     if set(modes) - {"bm25"}:
-        index = build(text_vectors(blocks, "block_id"))
-        asking = text_vectors(each, "qid", "question").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query"))
-        arms.append(search(index, asking, pool).select(F.lit("dense").alias("family"), F.col("qid").alias("asked"), F.col("vec_id").alias("block_id"), "score", "rank"))
+        if R.few(each, R.MAX_PASSES * R.QUERY_BLOCK):
+            near = R.hashed_top(blocks, each, pool)
+        else:
+            asking = text_vectors(each, "qid", "question").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query"))
+            near = search(build(text_vectors(blocks, "block_id")), asking, pool).withColumnRenamed("vec_id", "block_id")
+        arms.append(near.select(F.lit("dense").alias("family"), F.col("qid").alias("asked"), "block_id", "score", "rank"))
     ranked = arms[0] if len(arms) == 1 else arms[0].union(arms[1])
     ranked = written(ranked.join(asked.select("asked", "qid"), "asked"))
     families = {"bm25": ["bm25"], "dense": ["dense"]}
@@ -229,7 +218,7 @@ def retrieve(blocks: DataFrame, planned: DataFrame, modes: tuple[str, ...] = MOD
         fused = used.groupBy("qid", "block_id").agg(F.round(F.sum(1 / (R.RRF_K + F.col("rank"))), 9).alias("rrf"), F.min("rank").alias("best"), best("bm25"), best("dense"))
         placed = fused.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("rrf"), "best", "block_id")))
         if mode == "hybrid_rerank":
-            held = placed.where(F.col("rank") <= pool).join(blocks.select("block_id", "text"), "block_id").join(asked.where("nth = 0").select("qid", "question"), "qid")
+            held = R.small(written(placed.where(F.col("rank") <= pool))).join(blocks.select("block_id", "text"), "block_id").join(asked.where("nth = 0").select("qid", "question"), "qid")
             words = held.withColumn("words", R.keyword_overlap(F.col("question"), F.col("text")))
             placed = words.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("words"), "rank", "block_id")))
         out.append(placed.where(F.col("rank") <= k).select(F.lit(mode).alias("mode"), "qid", "block_id", "rrf", "bm25", "dense", "rank"))
