@@ -1,9 +1,9 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles: prefix, positional and length filters, then components.
+"""Near-duplicates by SimHash, held to an exact Jaccard similarity of word shingles; a join of shingles finds those that fingerprints miss.
 
-Texts with equal shingle sets are one class. Shingles are ordered by rarity; two sets with a similarity of 0.8 or more
-share one among the first fifth of each. A pass over the sorted lists of those drops the entries that meet none they fit.
-As in simhash.near_links, every class left in a list meets its first class and the one before it; after that only
-classes of different components meet.
+Texts with equal shingle sets are one class. SimHash links come first (simhash.near_links); those whose sets are similar enough stay.
+Shingles are ordered by rarity; two sets with a similarity of 0.8 or more share one among the first fifth of each. A pass over the
+sorted lists of those drops the entries that meet none they fit. As in simhash.near_links, every class left in a list meets its first
+class and the one before it; after that only classes of different components meet. Classes that SimHash has joined aren't compared.
 """
 
 from __future__ import annotations
@@ -58,17 +58,19 @@ def sets(texts: list[str | None], bits: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def digests(docs: DataFrame, bits: Broadcast) -> DataFrame:
-    """doc_id, mark (a hash of the text), node (a hash of the shingle set, 0: no words), n and prefix of every row of docs (doc_id, mark, text)."""
+    """doc_id, mark (a hash of the text), node (a hash of the shingle set, 0: no words), n, fp (SimHash) and prefix of every row of docs (doc_id, mark, text)."""
 
     def digest(batch) -> dict:
-        keys, rows, starts, n = sets(batch.column("text").to_pylist(), bits.value)
+        texts = batch.column("text").to_pylist()
+        keys, rows, starts, n = sets(texts, bits.value)
+        fp = np.array([simhash.fingerprint(t) for t in texts], np.uint64).view(np.int64)
         nodes, sizes, first = (np.zeros(batch.num_rows, np.int64) for _ in range(3))
         if len(rows):
             nodes[rows] = np.add.reduceat(lines.mixed(keys, 6), starts).view(np.int64)
         sizes[rows], first[rows] = n, starts
-        return {"node": nodes, "n": sizes.astype(np.int32), "prefix": lines.ragged(keys, first, np.where(sizes > 0, sizes - (4 * sizes + 4) // 5 + 1, 0))}
+        return {"node": nodes, "n": sizes.astype(np.int32), "fp": fp, "prefix": lines.ragged(keys, first, np.where(sizes > 0, sizes - (4 * sizes + 4) // 5 + 1, 0))}
 
-    return common.map_rows(docs, "doc_id long, mark long, node long, n int, prefix array<long>", lambda: digest, rows=256)
+    return common.map_rows(docs, "doc_id long, mark long, node long, n int, fp long, prefix array<long>", lambda: digest, rows=256)
 
 
 def fits(n: str, i: str, m: str, j: str):
@@ -96,18 +98,31 @@ def verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
     return common.materialise(both.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b"))
 
 
+def alike(classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes that SimHash links: those of one fingerprint with its first, and the first ones of linked fingerprints."""
+    groups = common.materialise(classes.groupBy("fp").agg(F.min("node").alias("a")))
+    same = classes.select("fp", F.col("node").alias("b")).join(groups, "fp").where("a <> b").select("a", "b")
+    pairs = simhash.near_links(groups).toDF("fa", "fb")
+    named = pairs.join(groups.toDF("fa", "x"), "fa").join(groups.toDF("fb", "y"), "fb").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return same.union(named.distinct())
+
+
 def links(classes: DataFrame, docs: DataFrame, bits: Broadcast) -> DataFrame:
-    """Links (a, b) that join the same nodes as all pairs of similar sets do; classes: node, mark, n, prefix."""
+    """Links (a, b) that join the same nodes as all pairs of similar sets do; classes: node, mark, n, fp, prefix."""
     every = classes.select("node", "n", F.posexplode("prefix").alias("i", "key"))
     entries = common.materialise(lines.open_entries(every.select("key", "node", "n", "i", F.expr("0L").alias("p"), F.expr("0L").alias("q"))).drop("p", "q"))
     words = common.materialise(words_of(entries.select("node"), classes, docs, bits))
+    near = verified(alike(classes), words)  # who isn't in entries is similar to none
+    known = common.materialise(simhash.components(near).toDF("node", "comp"))
 
     ordered = Window.partitionBy("key", F.pmod(F.xxhash64("node"), F.lit(lines.SALTS))).orderBy("node")
-    own = F.struct("node", "n", "i")
-    met = entries.select("node", "n", "i", F.array(F.first(own).over(ordered), F.lag(own).over(ordered)).alias("others"))
-    met = met.select("node", "n", "i", F.explode("others").alias("o")).select("node", "n", "i", F.col("o.node").alias("a"), F.col("o.n").alias("m"), F.col("o.i").alias("j"))
-    met = met.where((F.col("a") < F.col("node")) & fits("n", "i", "m", "j")).select("a", F.col("node").alias("b")).distinct()
-    chains = verified(met, words)
+    names = ("node", "n", "i", "comp")
+    own = F.struct(*names)
+    placed = entries.join(known, "node", "left").select("key", "node", "n", "i", F.coalesce("comp", "node").alias("comp"))
+    met = placed.select(*names, F.array(F.first(own).over(ordered), F.lag(own).over(ordered)).alias("others"))
+    met = met.select(*names, F.explode("others").alias("o")).select(*names, F.col("o.node").alias("a"), F.col("o.n").alias("m"), F.col("o.i").alias("j"), F.col("o.comp").alias("ca"))
+    met = met.where((F.col("a") < F.col("node")) & (F.col("ca") != F.col("comp")) & fits("n", "i", "m", "j")).select("a", F.col("node").alias("b")).distinct()
+    chains = near.union(verified(met, words))
 
     joined = common.materialise(simhash.components(chains).toDF("node", "comp"))
     sizes = joined.groupBy("comp").agg(F.count("*").alias("size"))
@@ -120,7 +135,7 @@ def links(classes: DataFrame, docs: DataFrame, bits: Broadcast) -> DataFrame:
     others = mixed.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("comp").alias("cb"))
     between = outside.join(others, "key").where((F.col("ca") != F.col("cb")) & fits("n", "i", "m", "j"))
     far = verified(between.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), words)
-    for table in (mixed, joined, entries, words):
+    for table in (mixed, joined, known, entries, words):
         common.release(table)
     return chains.union(far)
 
@@ -133,7 +148,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     plain = common.pick(docs, doc_id="long", text="string").select("doc_id", F.xxhash64("text").alias("mark"), "text")
     bits = docs.sparkSession.sparkContext.broadcast(lines.rarity(plain, lambda texts: shingles(texts)[0]))
     marked = common.materialise(digests(plain, bits))
-    classes = common.materialise(marked.groupBy("node", "n", "prefix").agg(F.min("mark").alias("mark"), F.min("doc_id").alias("rep")))
+    classes = common.materialise(marked.groupBy("node", "n", "prefix").agg(F.min("mark").alias("mark"), F.min("doc_id").alias("rep"), F.min("fp").alias("fp")))
     marked = marked.select("doc_id", "node")
     joined = simhash.components(links(classes.where("n > 0"), plain, bits)).toDF("node", "comp")
     named = classes.select("node", "rep").join(joined, "node", "left").select("node", "rep", F.coalesce("comp", "node").alias("comp"))

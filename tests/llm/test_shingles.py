@@ -1,6 +1,10 @@
 import random
 
 import corpus_pipeline
+from paperloom.llm import shingles
+from pyspark.sql import functions as F
+
+from .test_simhash import slow_fingerprint
 
 
 def own(text):
@@ -40,3 +44,17 @@ def test_stage_against_all_pairs(spark, hard):
     assert 25 < len(want) < 200
     got = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
     assert sorted(r.doc_id for r in got) == sorted(want)
+
+
+def test_fingerprints_link_without_the_join(spark, monkeypatch):
+    """Near copies go by SimHash even where no shingle's list may compare them."""
+    rng = random.Random(5)
+    apart = 9
+    while apart > 4:
+        words = ["".join(rng.choices("abcdefghinorst", k=rng.randint(3, 8))) for _ in range(300)]
+        near = [" ".join(words), " ".join([*words[:-1], "otherword"])]
+        apart = (slow_fingerprint(near[0]) ^ slow_fingerprint(near[1])).bit_count()
+    rows = [(1, near[0]), (2, near[1]), (3, "".join(rng.choices("klmu vwz", k=900)))]
+    monkeypatch.setattr(shingles, "fits", lambda *_: F.lit(False))
+    got = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted(r.doc_id for r in got) == [1, 3]
