@@ -36,6 +36,11 @@ def cells_of(line: Column) -> Column:
     return F.regexp_extract_all(line, F.lit(CELL), F.lit(0))
 
 
+def bound(value: Column, made) -> Column:
+    """made(value), with the value computed once however often it is read there, also within lambdas."""
+    return F.get(F.transform(F.array(value), made), F.lit(0))
+
+
 def is_year(cell: Column) -> Column:
     return F.trim(cell).rlike(YEAR)
 
@@ -80,19 +85,22 @@ def rows_from_html(html: Column) -> Column:
     return F.filter(cut, lambda r: F.exists(r, lambda c: c != ""))
 
 
+def only_years(row: Column) -> Column:
+    """Whether a row has numbers and all are years."""
+    return F.exists(row, is_number) & ~F.exists(row, lambda c: ~is_year(c) & is_number(c))
+
+
 def opens_header(row: Column) -> Column:
     """Whether a row can start a header: empty, numbers only years, no first cell, or a unit in it."""
-    full = F.filter(F.transform(row, T.collapse), lambda c: c != "")
-    numbers = F.filter(full, is_number)
     first = F.coalesce(T.collapse(F.get(row, F.lit(0))), F.lit(""))
-    years = (F.size(numbers) > 0) & F.forall(numbers, is_year)
-    return (F.size(full) == 0) | years | (first == "") | first.rlike(UNIT_CELL)
+    full = F.filter(F.transform(row, T.collapse), lambda c: c != "")
+    return (first == "") | first.rlike(UNIT_CELL) | bound(full, lambda full: (F.size(full) == 0) | only_years(full))
 
 
 def continues_header(row: Column) -> Column:
     """Whether a row can follow a header row: two texts or more, none a number, with a word of headers."""
     full = F.filter(F.transform(row, T.collapse), lambda c: c != "")
-    return (F.size(full) >= 2) & ~F.exists(full, is_number) & F.arrays_overlap(words(F.array_join(full, " ")), F.array(*map(F.lit, HEADER_WORDS)))
+    return bound(full, lambda full: (F.size(full) >= 2) & ~F.exists(full, is_number) & F.arrays_overlap(words(F.array_join(full, " ")), F.array(*map(F.lit, HEADER_WORDS))))
 
 
 def split_header(rows: Column) -> Column:
@@ -106,21 +114,22 @@ def split_header(rows: Column) -> Column:
         goes_on = acc["open"] & (opens_header(row) | ((acc["n"] > 0) & continues_header(row)))
         return F.struct((acc["n"] + goes_on.cast("int")).alias("n"), goes_on.alias("open"))
 
-    n = F.aggregate(rows, F.struct(F.lit(0).alias("n"), F.lit(True).alias("open")), step)["n"]
-    heads = F.slice(rows, F.lit(1), n)
-    width = F.array_max(F.transform(heads, lambda r: F.size(r)))
-    column = lambda i: F.array_join(F.array_distinct(F.filter(F.transform(heads, lambda r: T.collapse(F.coalesce(F.get(r, i), F.lit("")))), lambda c: c != "")), " ")
-    merged = F.when(F.coalesce(width, F.lit(0)) > 0, F.transform(F.sequence(F.lit(0), width - 1), column)).otherwise(F.expr(f"cast(array() as {ROW})"))
+    def merged(heads: Column) -> Column:
+        width = F.array_max(F.transform(heads, lambda r: F.size(r)))
+        column = lambda i: F.array_join(F.array_distinct(F.filter(F.transform(heads, lambda r: T.collapse(F.coalesce(F.get(r, i), F.lit("")))), lambda c: c != "")), " ")
+        return F.when(F.coalesce(width, F.lit(0)) > 0, F.transform(F.sequence(F.lit(0), width - 1), column)).otherwise(F.expr(f"cast(array() as {ROW})"))
+
     first = F.get(rows, F.lit(0))
     textual = F.exists(first, lambda c: ~is_number(c))
     rest = lambda k: F.when(F.size(rows) > k, F.slice(rows, k + 1, F.size(rows) - k)).otherwise(rows)
     no_cells = F.expr(f"cast(array() as {ROW})")
-    return (
+    split = lambda n: (
         F.when(F.size(rows) == 0, F.struct(no_cells.alias("header"), rows.alias("body")))
-        .when(n > 0, F.struct(merged.alias("header"), rest(n).alias("body")))
+        .when(n > 0, F.struct(bound(F.slice(rows, F.lit(1), n), merged).alias("header"), rest(n).alias("body")))
         .when(textual, F.struct(first.alias("header"), rest(F.lit(1)).alias("body")))
         .otherwise(F.struct(no_cells.alias("header"), rows.alias("body")))
     )
+    return bound(F.aggregate(rows, F.struct(F.lit(0).alias("n"), F.lit(True).alias("open")), step)["n"], split)
 
 
 def shared(a: Column, b: Column) -> Column:
@@ -130,8 +139,8 @@ def shared(a: Column, b: Column) -> Column:
 def table_score(question: Column, rows: Column, caption: Column) -> Column:
     """How well a table fits a question: shared words, two for each year in it, half for a caption."""
     text = F.concat_ws(" ", F.flatten(rows), F.coalesce(caption, F.lit("")))
-    years = F.filter(C.years(question), lambda y: F.contains(text, y))
-    return shared(words(question), words(text)) + 2.0 * F.size(years) + F.when(F.coalesce(caption, F.lit("")) != "", 0.5).otherwise(0.0)
+    fit = bound(text, lambda text: shared(words(question), words(text)) + 2.0 * F.size(F.filter(C.years(question), lambda y: F.contains(text, y))))
+    return fit + F.when(F.coalesce(caption, F.lit("")) != "", 0.5).otherwise(0.0)
 
 
 def best_tables(tables: DataFrame, question: str = "question", by: str = "qid", key: str = "table_id") -> DataFrame:
@@ -148,17 +157,13 @@ def first_best(items: Column, score) -> Column:
 
 
 def has_value(row: Column) -> Column:
-    return F.exists(row, lambda c: is_number(c) & ~is_year(c))
+    return F.exists(row, lambda c: ~is_year(c) & is_number(c))
 
 
 def selectable(rows: Column) -> Column:
     """The rows that aren't headers within (numbers only years), if any."""
-    def inner_header(r: Column) -> Column:
-        numbers = F.filter(r, is_number)
-        return (F.size(r) == 0) | ((F.size(numbers) > 0) & F.forall(numbers, is_year))
-
-    kept = F.filter(rows, lambda r: ~inner_header(r))
-    return F.when(F.size(kept) > 0, kept).otherwise(rows)
+    kept = F.filter(rows, lambda r: ~((F.size(r) == 0) | only_years(r)))
+    return bound(kept, lambda kept: F.when(F.size(kept) > 0, kept).otherwise(rows))
 
 
 def with_context(rows: Column) -> Column:
@@ -175,21 +180,30 @@ def with_context(rows: Column) -> Column:
     return F.aggregate(rows, F.struct(F.expr(f"cast(array() as {ROW})").alias("context"), none.alias("rows")), step)["rows"]
 
 
-def best_row(rows: Column, question: Column, labels: Column | None = None) -> Column:
-    """The row that fits a question best: two for each word in its label, .75 for each in it or its section, three for each label
-    in it, .1 a cell, two less without a value; the first of equals. With labels only rows that hold one."""
-    asked = words(question)
+def told(rows: Column) -> Column:
+    """What best_row() asks of each row of with_context(), as a struct: row, section, label (words of its first cell), said (its words and its section's), text, valued."""
 
-    def score(x: Column) -> Column:
+    def of(x: Column) -> Column:
         row = x["row"]
         text = F.array_join(row, " ")
-        total = 2.0 * shared(asked, words(F.coalesce(F.get(row, F.lit(0)), F.lit("")))) + 0.75 * shared(asked, F.array_union(words(text), x["context"])) + 0.1 * F.size(row) - F.when(has_value(row), 0.0).otherwise(2.0)
+        parts = {"row": row, "section": x["section"], "label": words(F.coalesce(F.get(row, F.lit(0)), F.lit(""))), "said": F.array_union(words(text), x["context"]), "text": text, "valued": has_value(row)}
+        return F.struct(*[c.alias(name) for name, c in parts.items()])
+
+    return F.transform(with_context(rows), of)
+
+
+def best_row(known: Column, asked: Column, labels: Column | None = None) -> Column:
+    """The row of told() that fits a question's words best: two for each word in its label, .75 for each in it or its section, three for
+    each label in it, .1 a cell, two less without a value; the first of equals. With labels only rows that hold one."""
+
+    def score(x: Column) -> Column:
+        total = 2.0 * shared(asked, x["label"]) + 0.75 * shared(asked, x["said"]) + 0.1 * F.size(x["row"]) - F.when(x["valued"], 0.0).otherwise(2.0)
         if labels is None:
             return F.when(~x["section"], F.round(total, 6))
-        held = F.size(F.filter(labels, lambda y: F.contains(text, y)))
+        held = F.size(F.filter(labels, lambda y: F.contains(x["text"], y)))
         return F.when(~x["section"] & (held > 0), F.round(total + 3.0 * held, 6))
 
-    return first_best(with_context(rows), score)["item"]["row"]
+    return first_best(known, score)["item"]["row"]
 
 
 def matchable(text: Column) -> Column:
@@ -265,16 +279,21 @@ def with_values(tables: DataFrame, question: str) -> DataFrame:
     last row of an activity that it names; else of the years it names, by columns under them in the best row, or by the best row of
     each; for averages of the best row's values; else the table's first two values. Each step is a column of its own, computed once.
     """
-    q, header, rows, years = F.col(question), F.col("header"), F.col("__rows"), F.col("__years")
+    q, header, rows, years, asked = F.col(question), F.col("header"), F.col("__rows"), F.col("__years"), F.col("operation")
     number = lambda row, place: C.cell_number(F.get(row, place))
     inside = lambda row, place: F.when(place < F.size(row), place)
     phrase = lambda pattern, other: F.coalesce(F.nullif(F.regexp_extract(q, pattern, 1), F.lit("")), other)
     named = F.coalesce(*[F.when(F.lower(q).rlike(rf"\b{a}\b"), F.lit(i)) for i, a in enumerate(ACTIVITIES)])
     known = tables.withColumns({"__rows": selectable(F.col("body")), "__years": C.calculation_years(q), "__metric": overlap_column(header, q), "__column": overlap_column(header, q, with_years=True), "__asked": words(q)})
+    known = known.withColumns({"__told": told(rows), "__both": F.array_contains("__asked", "high") & F.array_contains("__asked", "low")})
+    row, words_of = F.col("__told"), F.col("__asked")
+    part = lambda pattern, other: bound(words(phrase(pattern, other)), lambda asked: best_row(row, asked))
+    # What only some questions compute with is made for these alone.
     known = known.withColumns({
-        "__top": best_row(rows, q), "__heads": F.transform(years, lambda y: label_column(header, y)), "__each": F.transform(years, lambda y: best_row(rows, q, F.array(y))),
-        "__part": best_row(rows, phrase(r"(?i)\bof\s+(.+?)\s+as\s+a\s+percentage\s+of\b", q)), "__whole": best_row(rows, phrase(r"(?i)\bas\s+a\s+percentage\s+of\s+(.+?)(?:\?|$)", F.lit("total"))),
-        "__low": F.get(labelled(rows, "low"), F.lit(0)), "__high": F.get(labelled(rows, "high"), F.lit(0)), "__acted": F.get(F.array(*[labelled(rows, a) for a in ACTIVITIES]), named),
+        "__top": best_row(row, words_of), "__heads": F.transform(years, lambda y: label_column(header, y)), "__each": F.transform(years, lambda y: best_row(row, words_of, F.array(y))),
+        "__part": F.when(asked == "percentage_of_total", part(r"(?i)\bof\s+(.+?)\s+as\s+a\s+percentage\s+of\b", q)), "__whole": F.when(asked == "percentage_of_total", part(r"(?i)\bas\s+a\s+percentage\s+of\s+(.+?)(?:\?|$)", F.lit("total"))),
+        "__low": F.when(F.col("__both"), F.get(labelled(rows, "low"), F.lit(0))), "__high": F.when(F.col("__both"), F.get(labelled(rows, "high"), F.lit(0))),
+        "__acted": F.when(asked == "average", F.get(F.array(*[F.when(named == i, labelled(rows, a)) for i, a in enumerate(ACTIVITIES)]), named)),
     })
     top = F.col("__top")
     own = F.filter(top, lambda c: is_number(c) & ~is_year(c))
@@ -289,11 +308,11 @@ def with_values(tables: DataFrame, question: str) -> DataFrame:
         "__rest": F.transform(F.when(F.size(years) > 0, F.slice(own, F.lit(1), F.size(years))).otherwise(own), C.cell_number),
         "__by_year": F.array_compact(F.zip_with("__each", years, lambda row, y: of_row(row, inside(row, F.col("__metric")), F.array(y)))),
         "__shares": F.array_compact(F.array(share("__part"), share("__whole"))),
-        "__ends": F.when(F.array_contains("__asked", "high") & F.array_contains("__asked", "low"), F.array_compact(F.array(end("__low"), end("__high")))),
+        "__ends": F.when(F.col("__both"), F.array_compact(F.array(end("__low"), end("__high")))),
         "__active": F.when(F.size("__acted") >= 2, F.array_compact(F.array(first_number(F.get("__acted", F.lit(0))), first_number(F.element_at("__acted", -1))))),
         "__all": F.transform(F.filter(F.flatten(rows), lambda c: is_number(c) & ~(is_year(c) & F.array_contains(years, F.trim(c)))), C.cell_number),
     })
-    asked, two = F.col("operation"), lambda c: F.size(c) >= 2
+    two = lambda c: F.size(c) >= 2
     average = F.when(two("__active"), F.col("__active")).when(F.col("__by_heads"), F.col("__under")).otherwise(F.col("__rest"))
     values = (
         F.when(two("__ends"), F.col("__ends")).when((asked == "percentage_of_total") & two("__shares"), F.col("__shares")).when((asked == "average") & (F.size(average) >= 2), average)
