@@ -329,12 +329,14 @@ def later_matches(docs: DataFrame) -> DataFrame:
     """id, mark, line_no of all lines to remove; docs: id, mark, text."""
     bits = docs.sparkSession.sparkContext.broadcast(rarity(docs))
     lines = common.materialise(digests(docs, bits).select(position().alias("pos"), "h1", "h2", "n", "p", "q", "prefix"))
-    repeated = lines.groupBy("h1", "h2").agg(F.min("pos").alias("first"), F.count("*").alias("copies")).where("copies > 1")
+    # Written, so that neither the lines nor what was shuffled for their classes lie beside the lists' entries.
+    classes = common.materialise(lines.groupBy("h1", "h2", "n", "p", "q", "prefix").agg(F.min("pos").alias("pos"), F.count("*").alias("copies")))
+    repeated = classes.where("copies > 1").select("h1", "h2", F.col("pos").alias("first"))
     copies = common.materialise(lines.select("pos", "h1", "h2").join(repeated, ["h1", "h2"]).where("pos > first").select(*place("pos")))
+    common.release(lines)
 
-    classes = lines.groupBy("h1", "h2", "n", "p", "q", "prefix").agg(F.min("pos").alias("pos"))
     left = common.materialise(open_entries(entries_of(classes)))
-    common.release(lines)
+    common.release(classes)
     words = common.materialise(sets_of(left.select("id", "at").distinct(), docs, bits))
 
     ordered = Window.partitionBy("key", F.pmod(F.xxhash64("id", "at"), F.lit(SALTS))).orderBy("id", "at", "i")
