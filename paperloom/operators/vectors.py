@@ -10,9 +10,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from ..sources.scratch import written
 from . import retrieval as R
+from . import scan as S
 from .retrieval import known, matrix
 
 #: Rows that centroids are fitted on, by a hash of their id; every row is indexed.
@@ -20,7 +22,7 @@ SAMPLE = 20_000
 MAX_CELLS = 4096
 #: Cells are read in parts, so that one with many rows is no single task's.
 SALTS = 8
-#: Passes over the index for blocks of R.QUERY_BLOCK queries; more queries than that meet the cells by a join.
+#: Blocks of R.QUERY_BLOCK queries that go to every task at once, and how many times that is done; more queries meet the cells by a join.
 MAX_PASSES = 32
 #: Slack of comparisons, over what scores are rounded to.
 SLACK = 2e-6
@@ -57,7 +59,7 @@ def fit(vectors: DataFrame, sample: int = SAMPLE, rounds: int = 8) -> np.ndarray
 def build(vectors: DataFrame, centroids: np.ndarray | None = None) -> Index:
     """Index of every vector (vec_id, embedding) that has a direction; vectors without one have no cosine and are left out."""
     centres = fit(vectors) if centroids is None else centroids
-    usable = vectors.where(known("embedding")).select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    usable = vectors.where(known("embedding")).repartition("vec_id").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
 
     def place(batches):
         for batch in batches:
@@ -69,7 +71,7 @@ def build(vectors: DataFrame, centroids: np.ndarray | None = None) -> Index:
 
     kind = vectors.schema["vec_id"].dataType.simpleString()
     placed = usable.mapInArrow(place, f"vec_id {kind}, unit array<double>, cell int, angle double").withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)).cast("int"))
-    rows = written(placed.repartition("cell", "salt"))
+    rows = written(placed.repartition("cell", "salt").sortWithinPartitions("cell"))
     return Index(centres, rows, rows.groupBy("cell").agg(F.count("*").alias("n"), F.min("angle").alias("near"), F.max("angle").alias("far")))
 
 
@@ -91,59 +93,88 @@ def open_cells(index: Index, queries: DataFrame) -> DataFrame:
     return both.select("qid", "query_unit", "cell", "toward", F.greatest(F.lit(0.0), F.col("toward") - F.col("far"), F.col("near") - F.col("toward")).alias("bound"), "n")
 
 
-def scored(index: Index, probes: DataFrame, k: int, skip_self: bool, least: bool) -> DataFrame:
-    """qid, vec_id, score of the vectors in the probed cells, at least each query's k best of every task; with `least`, those that a
-    bound keeps under it aren't computed."""
-    blocks = -(-probes.select("qid").distinct().count() // R.QUERY_BLOCK)
-    if blocks > MAX_PASSES:
-        return joined(index, probes, skip_self, least)
-    parts = [multiplied(index, probes.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b), k, skip_self, least) for b in range(blocks)]
-    return reduce(DataFrame.union, parts) if parts else joined(index, probes, skip_self, least)
+@dataclass
+class Asked:
+    """Queries that go to every task: units, opened (bits of the cells that are read first)."""
 
+    kind: DataType
+    qids: list
+    units: np.ndarray
+    opened: np.ndarray
 
-def multiplied(index: Index, probes: DataFrame, k: int, skip_self: bool, least: bool) -> DataFrame:
-    """scored() for a block of about R.QUERY_BLOCK queries, which goes to every task: a product of matrices a batch of vectors."""
-    floor = F.first("least") if least else F.lit(-2.0)
-    drawn = probes.groupBy("qid").agg(F.first("query_unit").alias("unit"), F.collect_list(F.struct("cell", "toward")).alias("cells"), floor.alias("least")).toArrow().to_pydict()
-    asked, units, floors = drawn["qid"], np.array(drawn["unit"], float), np.array(drawn["least"], float)[:, None]
-    toward = np.full((len(asked), len(index.centroids)), np.nan)
-    for row, cells in enumerate(drawn["cells"]):
-        toward[row, [c["cell"] for c in cells]] = [c["toward"] for c in cells]
-    row_of = {q: row for row, q in enumerate(asked)}
-    opened = [int(c) for c in np.flatnonzero(~np.isnan(toward).all(axis=0))]
 
-    def best(batches):
+def aimed(index: Index, queries: DataFrame, wanted: int, reach: int) -> DataFrame:
+    """qid, unit and opened (bits of the cells read first: the nearest by their bound, at least `reach` and as many as hold `wanted` vectors): a row a query."""
+    centres, stats = index.centroids, index.cells.orderBy("cell").toArrow()  # at most MAX_CELLS rows
+    cells, n, near, far = (stats.column(c).to_numpy() for c in ("cell", "n", "near", "far"))
+
+    def aim(batches):
         for batch in batches:
-            if not batch.num_rows or not asked:
-                continue
-            ids = batch.column("vec_id").to_pylist()
-            own = batch.column("unit").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
-            aim = toward[:, batch.column("cell").to_numpy()]
-            with np.errstate(invalid="ignore"):
-                fits = np.cos(np.abs(aim - batch.column("angle").to_numpy())) >= floors - SLACK  # never for cells that aren't opened
-            scores = np.where(fits, np.round(units @ own.T, 6) + 0.0, -np.inf)
-            if skip_self:
-                for at, i in enumerate(ids):
-                    if i in row_of:
-                        scores[row_of[i], at] = -np.inf
-            qids, found, values = [], [], []
-            for row, line in enumerate(scores):
-                kth = np.partition(line, len(line) - k)[len(line) - k] if k < len(line) else -np.inf
-                at = np.flatnonzero((line >= kth) & (line > -np.inf))
-                if len(at) > k:
-                    at = sorted(at, key=lambda i: (-line[i], ids[i]))[:k]
-                qids += [asked[row]] * len(at)
-                found += [ids[i] for i in at]
-                values += [float(line[i]) for i in at]
-            yield pa.RecordBatch.from_arrays([pa.array(qids, kinds[0]), pa.array(found, kinds[1]), pa.array(values, pa.float64())], ["qid", "vec_id", "score"])
-
-    kinds = [to_arrow_type(probes.schema["qid"].dataType), to_arrow_type(index.rows.schema["vec_id"].dataType)]
-    schema = f"qid {probes.schema['qid'].dataType.simpleString()}, vec_id {index.rows.schema['vec_id'].dataType.simpleString()}, score double"
-    return index.rows.where(F.col("cell").isin(opened)).mapInArrow(best, schema)
+            for at in range(0, batch.num_rows, R.QUERY_BLOCK):
+                some = batch.slice(at, R.QUERY_BLOCK)
+                units = matrix(some.column("v"))
+                toward = np.arccos(np.clip(units @ centres[cells].T, -1, 1)) if len(cells) else np.zeros((len(units), 0))
+                order = np.lexsort((toward, np.maximum(0, np.maximum(toward - far, near - toward))), axis=1)
+                before = np.cumsum(n[order], axis=1) - n[order]
+                first = np.zeros((len(units), len(centres)), bool)
+                np.put_along_axis(first, cells[order], (np.arange(len(cells)) < reach) | (before < wanted), axis=1)
+                bits = pa.array([row.tobytes() for row in np.packbits(first, axis=1)], pa.binary())
+                yield pa.RecordBatch.from_arrays([some.column("qid"), pa.array(list(units), pa.list_(pa.float64())), bits], ["qid", "unit", "opened"])
+
+    usable = queries.where(known("query")).select("qid", F.col("query").cast("array<double>").alias("v")).dropDuplicates(["qid"])
+    return usable.mapInArrow(aim, f"{S.fields(queries, 'qid')}, unit array<double>, opened binary")
+
+
+def drawn(queries: DataFrame) -> Asked:
+    """aimed() queries of a pass."""
+    rows = queries.toArrow().to_pydict()
+    n = len(rows["qid"])
+    return Asked(queries.schema["qid"].dataType, rows["qid"], np.array(rows["unit"], float).reshape(n, -1), np.frombuffer(b"".join(rows["opened"]), np.uint8).reshape(n, -1))
+
+
+def visited(index: Index, asked: Asked, k: int, skip_self: bool, kths: dict | None = None) -> DataFrame:
+    """qid, vec_id, score: each query's k best of every task in the cells read first; or, with the k-th scores so far, those that reach them in other cells.
+
+    A run of rows of one cell meets the queries that open it by a product of matrices. Nothing is made for a query and cell.
+    """
+    qids, units, opened, centres = asked.qids, asked.units, asked.opened, index.centroids
+    stats = {r["cell"]: (r["near"], r["far"]) for r in index.cells.collect()} if kths is not None else {}  # at most MAX_CELLS rows
+    least = np.array([-2.0 if kths is None else kths.get(q, -2.0) for q in qids])
+    row_of = {q: row for row, q in enumerate(qids)}
+    kinds = [to_arrow_type(t) for t in (asked.kind, index.rows.schema["vec_id"].dataType)]
+
+    def opening(cell: int) -> np.ndarray:
+        first = opened[:, cell >> 3] >> (7 - (cell & 7)) & 1 == 1
+        if kths is None:
+            return np.flatnonzero(first)
+        near, far = stats[cell]
+        toward = np.arccos(np.clip(units @ centres[cell], -1, 1))
+        return np.flatnonzero(~first & (np.cos(np.maximum(0, np.maximum(toward - far, near - toward))) >= least - SLACK))
+
+    def best(batches):
+        top = S.Best(len(qids), k, least)
+        for batch in batches if qids else ():
+            cell = batch.column("cell").to_numpy()
+            own = batch.column("unit").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            me = np.array([row_of.get(i, -1) for i in batch.column("vec_id").to_pylist()], int) if skip_self else None
+            edges = [*np.flatnonzero(np.diff(cell, prepend=-1)).tolist(), batch.num_rows]
+            for start, end in zip(edges, edges[1:], strict=False):
+                open_ = opening(int(cell[start]))
+                for side in np.split(open_, range(S.SIDE, len(open_), S.SIDE)) if len(open_) else ():
+                    step = max(1, S.HELD // len(side))
+                    for at in range(start, end, step):
+                        to = min(at + step, end)
+                        scores = units[side] @ own[at:to].T
+                        if skip_self:
+                            S.unasked(scores, side, me[at:to])
+                        top.add(scores, batch.column("vec_id").slice(at, to - at), side)
+        yield top.batch(qids, kinds, ["qid", "vec_id", "score"])
+
+    return index.rows.mapInArrow(best, f"qid {asked.kind.simpleString()}, {S.fields(index.rows, 'vec_id')}, score double")
 
 
 def joined(index: Index, probes: DataFrame, skip_self: bool, least: bool) -> DataFrame:
-    """scored() for any number of queries: they meet the parts of the cells by a join."""
+    """qid, vec_id, score of the vectors in the probed cells, for any number of queries: they meet the parts of the cells by a join."""
     pairs = index.rows.join(probes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["cell", "salt"])
     if skip_self:
         pairs = pairs.where(F.col("vec_id") != F.col("qid"))
@@ -153,25 +184,42 @@ def joined(index: Index, probes: DataFrame, skip_self: bool, least: bool) -> Dat
     return pairs.select("qid", "vec_id", F.round(dot, 6).alias("score"))
 
 
-def search(index: Index, queries: DataFrame, k: int, exact: bool = True, probes: int = 0, skip_self: bool = False) -> DataFrame:
+def search(index: Index, queries: DataFrame, k: int, exact: bool = True, probes: int = 0, skip_self: bool = False, near: DataFrame | None = None) -> DataFrame:
     """qid, vec_id, score, rank of the k nearest vectors by cosine to each of queries (qid, query); ties go by id.
 
     First the nearest cells are read, at least `probes` (an eighth of all, if 0) and as many as hold k vectors. Their k-th score is a
-    bound: an angle differs from the query's by at least the difference of both to the centroid, so other cells, and rows in them,
-    that can't reach it are left out, and those that can are read. That makes the result exact. Without `exact` the first step is all.
+    bound: an angle differs from the query's by at least the difference of both to the centroid, so other cells that can't reach it are
+    left out, and those that can are read. That makes the result exact. Without `exact` the first step is all; `near` is its result, if that is known.
     """
     reach = probes or max(1, -(-len(index.centroids) // 8))
+    passes = R.passes_of(queries.count(), MAX_PASSES)
+    if not passes:
+        return searched(index, queries, k, exact, reach, skip_self)
+    aim = written(aimed(index, queries, k + int(skip_self), reach))
+    asked = [drawn(R.part(aim, passes, i)) for i in range(passes)]
+    if near is None:
+        near = R.top(reduce(DataFrame.union, [visited(index, part, k, skip_self) for part in asked]), k, "vec_id")
+        if not exact:
+            return near
+        near = written(near)
+    kths = dict(near.where(F.col("rank") == k).select("qid", "score").collect())  # at most a row a query, as the queries themselves
+    more = [visited(index, part, k, skip_self, kths) for part in asked]
+    return R.top(reduce(DataFrame.union, [near.select("qid", "vec_id", "score"), *more]), k, "vec_id")
+
+
+def searched(index: Index, queries: DataFrame, k: int, exact: bool, reach: int, skip_self: bool) -> DataFrame:
+    """search() for any number of queries, by a row a query and cell."""
     order = Window.partitionBy("qid").orderBy("bound", "toward", "cell")
     cells = written(open_cells(index, queries).withColumn("place", F.row_number().over(order)).withColumn("before", F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))))
     first = (F.col("place") <= reach) | (F.col("before") < k + int(skip_self))
-    near = R.top(scored(index, cells.where(first), k, skip_self, False), k, "vec_id")
+    near = R.top(joined(index, cells.where(first), skip_self, False), k, "vec_id")
     if not exact:
         return near
     near = written(near)
     found = near.groupBy("qid").agg(F.count("*").alias("hits"), F.min("score").alias("kth"))
     least = F.when(F.col("hits") >= k, F.col("kth")).otherwise(F.lit(-2.0))
     rest = cells.where(~first).join(found, "qid", "left").withColumn("least", F.coalesce(least, F.lit(-2.0))).where(F.cos("bound") >= F.col("least") - SLACK)
-    more = scored(index, written(rest.select("qid", "query_unit", "cell", "toward", "least")), k, skip_self, True)
+    more = joined(index, written(rest.select("qid", "query_unit", "cell", "toward", "least")), skip_self, True)
     return R.top(near.select("qid", "vec_id", "score").union(more), k, "vec_id")
 
 

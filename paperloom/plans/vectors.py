@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import retrieval as R
 from ..operators import review as P
 from ..operators import vectors as V
+from ..sources.scratch import written
 from . import fixtures as X
 from .registry import query
 from .retrieval import TOK, TOKENS, POSTINGS
@@ -32,8 +33,10 @@ def vector_index_topk(spark, sf_dir):
 def vector_index_recall(spark, sf_dir):
     """n and recall against all pairs: of the first cells alone, and of the search with the cells that its bound leaves."""
     vectors, queries = embedded(spark, sf_dir)
-    index, wanted = V.build(vectors), R.dense_top(vectors, queries, 10)
-    parts = [V.recall(V.search(index, queries, 10, exact=exact, skip_self=True), wanted).select(F.lit(step).alias("step"), "n", "recall") for step, exact in (("first_cells", False), ("bounded", True))]
+    index, wanted = V.build(vectors), written(R.dense_top(vectors, queries, 10))
+    near = written(V.search(index, queries, 10, exact=False, skip_self=True))
+    whole = V.search(index, queries, 10, skip_self=True, near=near)
+    parts = [V.recall(found, wanted).select(F.lit(step).alias("step"), "n", "recall") for step, found in (("first_cells", near), ("bounded", whole))]
     return parts[0].union(parts[1])
 
 

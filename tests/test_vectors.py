@@ -41,3 +41,29 @@ def test_recall_of_the_bounded_search_is_whole(spark, medium):
     rows = {r.step: r for r in P.vector_index_recall(spark, medium).collect()}
     assert rows["bounded"].n == 100 and rows["bounded"].recall == 1.0
     assert rows["first_cells"].recall < 1  # vectors of that table have no clusters: the bound is what makes the search whole
+
+
+def test_search_makes_no_row_for_a_query_and_cell_in_any_number_of_passes(spark, monkeypatch):
+    def refused(*_):
+        raise AssertionError("a row for each query and cell")
+
+    monkeypatch.setattr(V, "open_cells", refused)
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.integers(-2, 3, size=3) + 0.5]) for i in range(300)]  # many copies and ties
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    queries = spark.createDataFrame(rows[:7], "qid long, query array<double>")
+    index, wanted = V.build(df), None
+    for block, passes in ((512, 32), (2, 2)):
+        monkeypatch.setattr(V.R, "QUERY_BLOCK", block)
+        monkeypatch.setattr(V.R, "MAX_PASSES", passes)
+        monkeypatch.setattr(V, "MAX_PASSES", passes)
+        got = {(r.qid, r.vec_id, r.rank) for r in V.search(index, queries, 4, probes=1, skip_self=True).collect()}
+        wanted = wanted or {(r.qid, r.vec_id, r.rank) for r in V.R.dense_top(df, queries, 4).collect()}
+        assert got == wanted and len(got) == 28
+        assert {(r.qid, r.vec_id, r.rank) for r in V.R.dense_top(df, queries, 4).collect()} == wanted
+
+
+def test_vectors_of_one_file_are_dealt_over_tasks(spark):
+    df = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(40)], "vec_id long, embedding array<float>").coalesce(1)
+    plan = V.R.dense_top(df, df.where("vec_id < 3").toDF("qid", "query"), 2)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(vec_id" in plan
