@@ -14,7 +14,8 @@ many words as parities, which settles nearly all meetings of unlike lines withou
 A pass over the sorted lists drops the entries that meet no class they may match. Only the words of those left
 are read again. Two rounds keep large groups of similar lines linear: first every class meets the
 first class of its part of a list and the one before it; who matches has its earlier line and asks no
-more. Then the others meet all earlier classes of their lists.
+more. Then the others meet all earlier classes of their lists, but compare words with the closest by parities first, and with
+further ones only as long as none matches: that too keeps groups linear where their lines match.
 
 Texts are cut into words in Arrow batches: column functions alone need more than the limit for that (README).
 """
@@ -22,6 +23,7 @@ Texts are cut into words in Arrow batches: column functions alone need more than
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +46,8 @@ BITS_LINE, BITS_TEXT = 31, 31
 SALTS = 64
 #: Characters of text that are cut into words at once (a longer line is cut alone): their numbers stay in a core's cache.
 HELD = 1 << 17
+#: Which of a line's earlier lines are compared with it at a time, the closest by their parities first: one match is enough.
+CLOSEST = ((1, 1), (2, 8), (9, (1 << 31) - 1))
 #: Entries of longer lists are all kept for the rounds.
 LONG_LIST = 1 << HOT_CLASS
 
@@ -349,11 +353,19 @@ def later_matches(docs: DataFrame) -> DataFrame:
     near = common.materialise(matched(met.where(earlier & fits()).select("id", "at", "id2", "at2"), words))
 
     asking = left.join(near, ["id", "at"], "left_anti").select("key", *names)
-    rest = asking.join(others(left), "key").where(earlier & fits()).select("id", "at", "id2", "at2")
-    far = common.materialise(matched(rest, words))
+    rest = asking.join(others(left), "key").where(earlier & fits()).select("id", "at", "id2", "at2", F.expr("bit_count(p ^ r) + bit_count(q ^ s)").alias("apart"))
+    closest = Window.partitionBy("id", "at").orderBy("apart", "id2", "at2")
+    rest = common.materialise(rest.distinct().withColumn("place", F.row_number().over(closest)))
+    far = []
+    for least, most in CLOSEST:
+        some = rest.where(F.col("place").between(least, most))
+        for table in far:
+            some = some.join(table, ["id", "at"], "left_anti")
+        far.append(common.materialise(matched(some.select("id", "at", "id2", "at2"), words)))
+    common.release(rest)
     common.release(left)
     common.release(words)
-    return copies.union(near).union(far).select("id", F.shiftright("at", BITS_LINE).alias("mark"), F.col("at").bitwiseAND(F.lit((1 << BITS_LINE) - 1).cast("long")).cast("int").alias("line_no"))
+    return reduce(DataFrame.union, [copies, near, *far]).select("id", F.shiftright("at", BITS_LINE).alias("mark"), F.col("at").bitwiseAND(F.lit((1 << BITS_LINE) - 1).cast("long")).cast("int").alias("line_no"))
 
 
 def dedup(docs: DataFrame) -> DataFrame:

@@ -92,3 +92,18 @@ def test_long_lists_pass_whole(spark, monkeypatch):
 
 def test_table(spark, small):
     check(spark.read.parquet(f"{small}/documents.parquet"))
+
+
+def test_similar_lines_are_compared_with_few_earlier_ones(spark, monkeypatch):
+    common_words = " ".join(f"w{i}" for i in range(20))
+    docs = spark.createDataFrame([(i, f"{common_words} own{i}") for i in range(200)], "doc_id long, text string")
+    compared, matched = [], lines.matched
+
+    def counting(pairs, sets):
+        compared.append(pairs.distinct().count())
+        return matched(pairs, sets)
+
+    monkeypatch.setattr(lines, "matched", counting)
+    gone = {r.doc_id for r in lines.dedup(docs).collect() if r.removed}
+    assert gone == set(range(1, 200))
+    assert sum(compared) < 700  # all pairs of a line and an earlier one: 19,900
