@@ -1,4 +1,4 @@
-"""Line dedup: an exact set-similarity join over lines.
+"""Line dedup: an exact set-similarity join over lines, in DataFrame functions only.
 
 A line is the set of its lower-cased words. It goes if an earlier line (by doc_id, then place) has a
 Jaccard similarity of 0.8 or more with it, whether or not that line stays itself. Lines with equal sets
@@ -11,23 +11,21 @@ frequent that their lists would be long are taken two at a time, as similar clas
 word share two of them. Each class also carries 128 parities of its words: two sets differ in at least as
 many words as parities, which settles nearly all meetings of unlike lines without their words.
 
-A pass over the sorted lists drops the entries that meet no class they may match. Only the words of those left
+A semi-join of the lists with themselves, which makes no pairs, drops the entries that meet no class they may match. Only the words of those left
 are read again. Two rounds keep large groups of similar lines linear: first every class meets the
 first class of its part of a list and the one before it; who matches has its earlier line and asks no
 more. Then the others meet all earlier classes of their lists, but compare words with the closest by parities first, and with
 further ones only as long as none matches: that too keeps groups linear where their lines match.
 
-Texts are cut into words in Arrow batches: column functions alone need more than the limit for that (README).
+Texts are cut at single characters: other white space becomes a space first. A pattern of white space costs more than all the rest of the cutting.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
-import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,172 +34,70 @@ from . import common
 #: Shorter lines reach 0.8 only where their sets are equal, which the classes tell; these are paired.
 PAIRED_WORDS = 4
 #: Word counts are kept in two to so many hashed cells; they only order words, so cells shared by words cost time, not results.
-CELL_BITS = 22
+CELL_BITS = 18
+WORDS_A_CELL = 256
 #: A number of a word is its rarity class (bits of its cell's count) over this many bits of its hash.
 HASH_BITS = 57
-#: Words of cells with 2 ** 13 or more are listed two at a time: no list of a single word is longer than that.
-HOT_CLASS = 14
+#: Words of cells with 2 ** 15 or more are listed two at a time: no list of a single word is longer than that.
+HOT_CLASS = 16
 BITS_LINE, BITS_TEXT = 31, 31
 #: Parts of a list in the first round.
 SALTS = 64
-#: Characters of text that are cut into words at once (a longer line is cut alone): their numbers stay in a core's cache.
-HELD = 1 << 17
+#: Not used here any more: the filter of sorted lists went to arrays with its own limit, and a test still sets this.
+LONG_LIST = 1 << 14
 #: Which of a line's earlier lines are compared with it at a time, the closest by their parities first: one match is enough.
 CLOSEST = ((1, 1), (2, 8), (9, (1 << 31) - 1))
-#: Entries of longer lists are all kept for the rounds.
-LONG_LIST = 1 << HOT_CLASS
-
-
-#: White space above ASCII at which str.split() splits; it becomes a space first.
+#: White space inside a line (what str.split() splits at, but for the line end): in ASCII, and above.
+SPACES = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
 WIDE_SPACES = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Which bytes end a line (255 is no byte of UTF-8: it ends a text), and which stand between words.
-BREAKS = np.isin(np.arange(256), (10, 255))
-GAPS = np.isin(np.arange(256), (*range(9, 14), *range(28, 33), 255))
-#: Masks of the first bytes of eight, and the length from which words are hashed one by one.
-FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
-LONG_WORD = 1024
-
-
-def mixed(keys: np.ndarray, seed: int) -> np.ndarray:
-    """Well-spread 64 bits of each key (splitmix64)."""
-    x = keys.astype(np.uint64) + np.uint64(seed * 0x9E3779B97F4A7C15 % (1 << 64))
-    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-    return x ^ x >> np.uint64(31)
-
-
-def portions(texts: list[str | None]) -> Iterator[list[tuple[int, int, str]]]:
-    """(row, number of its first line, whole lines) of all texts, in lists of about HELD characters."""
-    held, size = [], 0
-    for row, text in enumerate(texts):
-        first = 0
-        while text:
-            cut = -1
-            if len(text) > HELD and (cut := text.rfind("\n", 0, HELD)) < 0:
-                cut = text.find("\n", HELD)
-            piece, text = (text, None) if cut < 0 else (text[:cut], text[cut + 1 :])
-            held.append((row, first, piece))
-            size, first = size + len(piece), first + piece.count("\n") + 1
-            if size >= HELD:
-                yield held
-                held, size = [], 0
-    if held:
-        yield held
-
-
-def hashed(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and line of every word, lower-cased; lines are counted through all pieces."""
-    from xxhash import xxh3_64_intdigest
-
-    def encoded(piece: str) -> bytes:
-        piece = piece.lower()
-        if not piece.isascii():
-            for space in WIDE_SPACES:
-                piece = piece.replace(space, " ")
-        return piece.encode("utf-8", "surrogatepass")
-
-    blob = b"".join([x for piece in pieces for x in (encoded(piece), b"\xff")] + [bytes(8)])
-    data = np.frombuffer(blob, np.uint8)[:-8]
-    edges = np.flatnonzero(np.diff(GAPS[data].view(np.int8), prepend=1))  # words start and end in turn
-    starts, lengths = edges[::2], edges[1::2] - edges[::2]
-    if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    eights = np.ndarray(len(data), "<u8", blob, strides=(1,))  # the eight bytes from every place on
-    words = mixed(eights[starts] & FIRST[np.minimum(lengths, 8)] ^ lengths.astype(np.uint64) << np.uint64(56), 3)
-    at, rest = np.flatnonzero(lengths > 8), 8
-    while len(at):
-        words[at] = mixed(words[at] ^ eights[starts[at] + rest] & FIRST[np.minimum(lengths[at] - rest, 8)], 4)
-        rest += 8
-        at = at[(lengths[at] > rest) & (rest < LONG_WORD)]
-    for k in np.flatnonzero(lengths > LONG_WORD):
-        words[k] = xxh3_64_intdigest(data[starts[k] : starts[k] + lengths[k]].tobytes())
-    return words, np.searchsorted(np.flatnonzero(BREAKS[data]), starts)
-
-
-def word_hashes(texts: list[str | None]) -> np.ndarray:
-    return np.concatenate([np.zeros(0, np.uint64), *(hashed([piece for _, _, piece in portion])[0] for portion in portions(texts))])
-
-
-def rarity(docs: DataFrame, hashes: Callable[[list[str | None]], np.ndarray] = word_hashes) -> np.ndarray:
-    """For each cell the number of bits of its count over all texts: of words, or of what else hashes() finds."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow as pa
-
-        counts = np.zeros(1 << CELL_BITS, np.int64)
-        held, size = [], 0
-        for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                held.append((hashes(batch.column("text").slice(start, 256).to_pylist()) >> np.uint64(64 - CELL_BITS)).astype(np.int64))
-                size += len(held[-1])
-                if size >= len(counts):
-                    counts += np.bincount(np.concatenate(held), minlength=len(counts))
-                    held, size = [], 0
-        if held:
-            counts += np.bincount(np.concatenate(held), minlength=len(counts))
-        cells = np.flatnonzero(counts)
-        for at in range(0, len(cells), 1 << 16):
-            some = cells[at : at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], names=["cell", "n"])
-
-    counts = docs.select("text").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.length(F.bin(F.sum("n"))).cast("byte").alias("bits"))
-    with common.tidy(docs.sparkSession):
-        rows = counts.toArrow()  # at most 2 ** CELL_BITS rows of five bytes
-    found = np.zeros(1 << CELL_BITS, np.uint8)
-    found[rows.column("cell").to_numpy()] = rows.column("bits").to_numpy()
-    return found
 
 
-def sets(words: np.ndarray, line: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct words as numbers (rarity class over bits of the hash) and their lines: by line, then rarest first."""
-    keys = bits[words >> np.uint64(64 - CELL_BITS)].astype(np.uint64) << np.uint64(HASH_BITS) | words >> np.uint64(64 - HASH_BITS)
-    order = np.lexsort((keys, line))
-    keys, line = keys[order].view(np.int64), line[order]
-    new = np.ones(len(keys), bool)
-    new[1:] = (keys[1:] != keys[:-1]) | (line[1:] != line[:-1])
-    return keys[new], line[new]
+def spaced(table: DataFrame, name: str) -> DataFrame:
+    """The table with this column in lower case and all white space in it but line ends as spaces."""
+    text = F.col(name)
+    narrow = reduce(Column.__or__, [F.contains(text, F.lit(space)) for space in SPACES])
+    wide = reduce(Column.__or__, [F.contains(text.cast("binary"), F.lit(first)) for first in sorted({space.encode()[:2] for space in WIDE_SPACES})])
+    other = narrow | ((F.octet_length(text) > F.length(text)) & wide)
+    return table.withColumn(name, F.lower(name)).withColumn(name, F.when(other, F.translate(text, SPACES + WIDE_SPACES, " " * len(SPACES + WIDE_SPACES))).otherwise(text))
+
 
+def rarity(docs: DataFrame) -> Callable[[Column], Column]:
+    """A function from a word's hash to the number of bits of its cell's count over all texts. It holds a byte a cell, in a literal (an array
+    of numbers takes seconds to plan); there are as many cells as give WORDS_A_CELL, at most 2 ** CELL_BITS."""
+    words = spaced(docs.select("text"), "text").select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("word"))
+    counts = words.groupBy(F.shiftrightunsigned(F.xxhash64("word"), 64 - CELL_BITS).cast("int").alias("cell")).agg(F.count("*").alias("n"))
+    with common.tidy(docs.sparkSession):
+        rows = counts.toArrow()  # at most 2 ** CELL_BITS rows of twelve bytes
+    found = np.zeros(1 << CELL_BITS, np.int64)
+    found[rows["cell"].to_numpy()] = rows["n"].to_numpy()
+    used = min(CELL_BITS, max(1, (int(found.sum()) // WORDS_A_CELL).bit_length()))
+    cells = F.lit(bytearray(int(n).bit_length() for n in found.reshape(1 << used, -1).sum(axis=1)))
+    return lambda h: F.ascii(F.substring(cells, F.shiftrightunsigned(h, 64 - used).cast("int") + 1, 1).cast("string"))
 
-def ragged(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> pa.Array:
-    """The runs of values as an Arrow list array."""
-    import pyarrow as pa
 
-    ends = np.cumsum(lengths)
-    at = np.repeat(starts - (ends - lengths), lengths) + np.arange(int(lengths.sum()))
-    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(values[at]))
+def keys_of(line: Column, bits: Callable[[Column], Column]) -> Column:
+    """The distinct words of a line (as spaced() has it) as numbers, rarest first."""
+    hashes = F.array_remove(F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    key = lambda h: F.shiftleft(bits(h).cast("long"), HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
+    return F.sort_array(F.transform(hashes, key))
 
 
-def digests(docs: DataFrame, bits: Broadcast) -> DataFrame:
+def digests(docs: DataFrame, bits: Callable[[Column], Column]) -> DataFrame:
     """id, at, h1, h2 (128 bits that name the set), n, p, q (parities) and prefix of every line with a word; docs: id, mark, text.
 
     The prefix is one word longer than the first shared word needs, for the second word of two.
     """
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow as pa
-
-        ones = np.array([[1 << j if j < 64 else 0 for j in range(128)], [0 if j < 64 else 1 << j - 64 for j in range(128)]], np.uint64)
-        for batch in batches:
-            ids, marks = (batch.column(c).to_numpy() for c in ("id", "mark"))
-            for portion in portions(batch.column("text").to_pylist()):
-                rows, firsts, pieces = zip(*portion, strict=True)
-                keys, line = sets(*hashed(list(pieces)), bits.value)
-                if not len(keys):
-                    continue
-                starts = np.flatnonzero(np.diff(line, prepend=-1))
-                n = np.diff(starts, append=len(keys))
-                per_piece = np.array([piece.count("\n") + 1 for piece in pieces])
-                upto = np.cumsum(per_piece)
-                at = np.searchsorted(upto, line[starts], side="right")
-                line_no = line[starts] - (upto - per_piece)[at] + np.array(firsts)[at]
-                row = np.array(rows)[at]
-                p, q = (np.bitwise_xor.reduceat(one[keys & 127], starts).view(np.int64) for one in ones)
-                h1, h2 = (np.add.reduceat(mixed(keys, seed), starts).view(np.int64) for seed in (1, 2))
-                long = np.minimum(n - (4 * n + 4) // 5 + 2, n)
-                out = (ids[row], marks[row] << BITS_LINE | line_no, h1, h2, n.astype(np.int32), p, q)
-                yield pa.RecordBatch.from_arrays([*map(pa.array, out), ragged(keys, starts, long)], names=["id", "at", "h1", "h2", "n", "p", "q", "prefix"])
-
-    return docs.select("id", "mark", "text").mapInArrow(digest, "id long, at long, h1 long, h2 long, n int, p long, q long, prefix array<long>")
+    at = F.col("mark") * (1 << BITS_LINE) + F.col("line_no")
+    lines = spaced(docs, "text").select("id", "mark", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    # A generator in between: the keys are computed once for all that is derived from them.
+    sets = lines.select("id", at.alias("at"), F.explode(F.array(keys_of(F.col("line"), bits))).alias("keys")).where(F.size("keys") > 0)
+    # A word turns bit (its last six bits) of p if its seventh is set, else of q.
+    turned = "aggregate(keys, 0L, (seen, k) -> seen ^ shiftleft({}, cast(k & 63 as int)))"
+    p, both = F.expr(turned.format("shiftright(k, 6) & 1")), F.expr(turned.format("1L"))
+    sets = sets.select("*", F.size("keys").alias("n"), F.explode(F.array(F.struct(p.alias("p"), both.alias("both")))).alias("s"))
+    prefix = F.expr("slice(keys, 1, least(n, n - (4 * n + 4) div 5 + 2))")
+    names = [F.xxhash64("keys").alias("h1"), F.xxhash64(F.lit(1), "keys").alias("h2")]
+    return sets.select("id", "at", *names, "n", F.col("s.p").alias("p"), F.col("s.p").bitwiseXOR(F.col("s.both")).alias("q"), prefix.cast("array<long>").alias("prefix"))
 
 
 def position(id_: str = "id", at: str = "at") -> Column:
@@ -229,97 +125,36 @@ def fits() -> Column:
 
 def entries_of(classes: DataFrame) -> DataFrame:
     """The lists' entries: key, id, at, n, p, q and the place i of the key's (first) word; classes: pos, n, p, q, prefix."""
+    own = ["id", "at", "n", "p", "q"]
     placed = classes.where(F.col("n") >= PAIRED_WORDS).select(*place("pos"), "n", "p", "q", "prefix")
     hot = F.lit(HOT_CLASS << HASH_BITS)
-    single = F.expr("transform(slice(prefix, 1, size(prefix) - 1), (k, i) -> struct(i as i, k as key))")
-    single = F.filter(single, lambda e: e["key"] < hot)
-    head = F.expr("slice(prefix, 1, size(prefix) - 1)")
-    double = F.flatten(
-        F.transform(head, lambda k, i: F.when(k >= hot, F.transform(F.slice("prefix", i + 2, F.size("prefix")), lambda k2: F.struct(i.alias("i"), F.xxhash64(k, k2).alias("key")))).otherwise(F.expr("cast(array() as array<struct<i:int,key:bigint>>)")))
-    )
-    every = F.when(F.element_at("prefix", -1) < hot, single).otherwise(F.concat(single, double))
-    return placed.select("id", "at", "n", "p", "q", F.inline(every)).select("key", "id", "at", "n", "p", "q", "i")
-
-
-def may_match(key: np.ndarray, n: np.ndarray, i: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Which entries, sorted by key, fit() some other entry of their list."""
-    found = np.zeros(len(key), bool)
-    rows, step = np.arange(len(key)), 0
-    while True:
-        step += 1
-        rows = rows[rows + step < len(key)]
-        rows = rows[key[rows] == key[rows + step]]
-        if not len(rows):
-            return found
-        a, b = rows, rows + step
-        both = n[a] + n[b]
-        needed = (4 * both + 8) // 9
-        close = (5 * np.minimum(n[a], n[b]) >= 4 * np.maximum(n[a], n[b])) & (np.minimum(n[a] - i[a], n[b] - i[b]) >= needed)
-        a, b, apart = a[close], b[close], (both - 2 * needed)[close]
-        close = np.bitwise_count(p[a] ^ p[b]) + np.bitwise_count(q[a] ^ q[b]) <= apart
-        found[a[close]] = found[b[close]] = True
-
-
-def open_entries(entries: DataFrame) -> DataFrame:
-    """The entries that may match another one of their list; all of a list of more than LONG_LIST."""
-
-    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow as pa
-
-        def kept(rows: pa.RecordBatch) -> pa.RecordBatch:
-            key, n, i, p, q = (rows.column(c).to_numpy() for c in ("key", "n", "i", "p", "q"))
-            return rows.filter(pa.array(may_match(key, n.astype(np.int64), i.astype(np.int64), p.view(np.uint64), q.view(np.uint64))))
-
-        held, whole = None, None  # the last list, which may go on; the key of a long list, whose entries all pass
-        for batch in batches:
-            rows = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-            held = None
-            key = rows.column("key").to_numpy()
-            if whole is not None:
-                passed = int(np.searchsorted(key != whole, True)) if (key != whole).any() else len(key)
-                yield rows.slice(0, passed)
-                if passed == len(key):
-                    continue
-                rows, key, whole = rows.slice(passed), key[passed:], None
-            last = int(np.searchsorted(key, key[-1]))
-            if last:
-                yield kept(rows.slice(0, last))
-            held = rows.slice(last)
-            if held.num_rows > LONG_LIST:
-                yield held
-                held, whole = None, key[-1]
-        if held is not None:
-            yield kept(held)
-
-    # A number of its own for the sort: nulls can't occur, and equal keys stay together.
-    return entries.repartition("key").sortWithinPartitions("key").mapInArrow(choose, entries.schema)
+    single = placed.select(*own, F.posexplode(F.expr("slice(prefix, 1, size(prefix) - 1)")).alias("i", "key")).where(F.col("key") < hot)
+    several = placed.where(F.element_at("prefix", -1) >= hot).select(*own, "prefix", F.posexplode("prefix").alias("i", "first")).where((F.col("first") >= hot) & (F.col("i") < F.size("prefix") - 1))
+    double = several.select(*own, "i", "first", F.explode(F.expr("slice(prefix, i + 2, size(prefix))")).alias("second"))
+    return single.select("key", *own, "i").union(double.select(F.xxhash64("first", "second").alias("key"), *own, "i"))
 
 
 def others(entries: DataFrame) -> DataFrame:
     return entries.toDF("key", "id2", "at2", "m", "r", "s", "j")
 
 
-def sets_of(wanted: DataFrame, docs: DataFrame, bits: Broadcast) -> DataFrame:
+def open_entries(entries: DataFrame) -> DataFrame:
+    """The entries that may match another one of their list."""
+    own = entries.toDF("key1", "id", "at", "n", "p", "q", "i")
+    other = entries.toDF("key2", "id2", "at2", "m", "r", "s", "j")  # both sides renamed: they share one shuffle
+    apart = (F.col("id") != F.col("id2")) | (F.col("at") != F.col("at2"))
+    return own.join(other, (F.col("key1") == F.col("key2")) & apart & fits(), "left_semi").toDF(*entries.columns)
+
+
+def sets_of(wanted: DataFrame, docs: DataFrame, bits: Callable[[Column], Column]) -> DataFrame:
     """id, at and keys of the wanted lines (id, at), read from docs."""
     mark, line_no = F.shiftright("at", BITS_LINE), F.col("at").bitwiseAND(F.lit((1 << BITS_LINE) - 1).cast("long")).cast("int")
     wanted = wanted.groupBy("id", mark.alias("mark")).agg(F.collect_set(line_no).alias("wanted"))
     # Repeated rows (equal id and text) give equal lines: one of each is enough.
-    cut = docs.join(wanted, ["id", "mark"]).dropDuplicates(["id", "mark"])
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow as pa
-
-        for batch in batches:
-            for id_, mark, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("id", "mark", "text", "wanted")), strict=True):
-                lines = text.split("\n")
-                for portion in portions(["\n".join(lines[k] for k in wanted)]):
-                    ((_, first, piece),) = portion
-                    keys, line = sets(*hashed([piece]), bits.value)
-                    starts = np.flatnonzero(np.diff(line, prepend=-1))
-                    at = [mark << BITS_LINE | wanted[first + k] for k in line[starts]]
-                    yield pa.RecordBatch.from_arrays([pa.array([id_] * len(at), pa.int64()), pa.array(at, pa.int64()), ragged(keys, starts, np.diff(starts, append=len(keys)))], names=["id", "at", "keys"])
-
-    return cut.select("id", "mark", "text", "wanted").mapInArrow(read, "id long, at long, keys array<long>")
+    cut = docs.join(wanted, ["id", "mark"]).dropDuplicates(["id", "mark"]).select("id", "mark", F.split("text", "\n").alias("lines"), "wanted")
+    picked = cut.select("id", "mark", F.explode(F.expr("transform(wanted, k -> struct(k as line_no, get(lines, k) as line))")).alias("w"))
+    at = F.col("mark") * (1 << BITS_LINE) + F.col("w.line_no")
+    return spaced(picked.select("id", at.alias("at"), F.col("w.line").alias("line")), "line").select("id", "at", keys_of(F.col("line"), bits).alias("keys"))
 
 
 def matched(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -331,7 +166,7 @@ def matched(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def later_matches(docs: DataFrame) -> DataFrame:
     """id, mark, line_no of all lines to remove; docs: id, mark, text."""
-    bits = docs.sparkSession.sparkContext.broadcast(rarity(docs))
+    bits = rarity(docs)
     lines = common.materialise(digests(docs, bits).select(position().alias("pos"), "h1", "h2", "n", "p", "q", "prefix"))
     # Written, so that neither the lines nor what was shuffled for their classes lie beside the lists' entries.
     classes = common.materialise(lines.groupBy("h1", "h2", "n", "p", "q", "prefix").agg(F.min("pos").alias("pos"), F.count("*").alias("copies")))

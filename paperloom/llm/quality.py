@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import common, lines
+from . import arrays, common
 
 #: The classifiers are fitted on at most so many labelled documents, those with the smallest hash of their id.
 MAX_LABELLED = 3000
@@ -165,7 +165,7 @@ def draw(keys: np.ndarray, logit: np.ndarray, label: int, count: int, step: int)
     """Order and place of `count` of the rows that are confidently of the label, each key once; which: by a hash of the key."""
     least = np.log(CONFIDENT / (1 - CONFIDENT))
     sure = np.flatnonzero(logit >= least if label else logit <= -least)
-    order, first = np.unique((lines.mixed(keys[sure], step + 1) >> np.uint64(1)).view(np.int64), return_index=True)
+    order, first = np.unique((arrays.mixed(keys[sure], step + 1) >> np.uint64(1)).view(np.int64), return_index=True)
     return order[:count], sure[first[:count]]
 
 

@@ -16,7 +16,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import common, lines, simhash
+from . import arrays, common, lines, simhash
 
 SHINGLE = 5
 
@@ -24,9 +24,9 @@ SHINGLE = 5
 def shingles(texts: list[str | None], shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Hash and row of every shingle, repeats included: words as str.lower().split() has them; under `shingle` words: all of them."""
     words, row = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for portion in lines.portions(texts):
+    for portion in arrays.portions(texts):
         rows, _, pieces = zip(*portion, strict=True)
-        found, line = lines.hashed(list(pieces))
+        found, line = arrays.hashed(list(pieces))
         upto = np.cumsum([piece.count("\n") + 1 for piece in pieces])
         words.append(found)
         row.append(np.array(rows)[np.searchsorted(upto, line, side="right")])
@@ -35,7 +35,7 @@ def shingles(texts: list[str | None], shingle: int = SHINGLE) -> tuple[np.ndarra
     def joined(first: np.ndarray, n: int) -> np.ndarray:
         out = np.full(len(first), n, np.uint64)
         for k in range(n):
-            out = lines.mixed(out ^ words[first + k], 5)
+            out = arrays.mixed(out ^ words[first + k], 5)
         return out
 
     starts = np.flatnonzero(np.diff(row, prepend=-1))
@@ -52,7 +52,7 @@ def shingles(texts: list[str | None], shingle: int = SHINGLE) -> tuple[np.ndarra
 
 def sets(texts: list[str | None], bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct shingles as numbers, by row, rarest first; the rows that have any; their starts and lengths."""
-    keys, row = lines.sets(*shingles(texts), bits)
+    keys, row = arrays.sets(*shingles(texts), bits)
     starts = np.flatnonzero(np.diff(row, prepend=-1))
     return keys, row[starts], starts, np.diff(starts, append=len(keys))
 
@@ -66,9 +66,9 @@ def digests(docs: DataFrame, bits: Broadcast) -> DataFrame:
         fp = np.array([simhash.fingerprint(t) for t in texts], np.uint64).view(np.int64)
         nodes, sizes, first = (np.zeros(batch.num_rows, np.int64) for _ in range(3))
         if len(rows):
-            nodes[rows] = np.add.reduceat(lines.mixed(keys, 6), starts).view(np.int64)
+            nodes[rows] = np.add.reduceat(arrays.mixed(keys, 6), starts).view(np.int64)
         sizes[rows], first[rows] = n, starts
-        return {"node": nodes, "n": sizes.astype(np.int32), "fp": fp, "prefix": lines.ragged(keys, first, np.where(sizes > 0, sizes - (4 * sizes + 4) // 5 + 1, 0))}
+        return {"node": nodes, "n": sizes.astype(np.int32), "fp": fp, "prefix": arrays.ragged(keys, first, np.where(sizes > 0, sizes - (4 * sizes + 4) // 5 + 1, 0))}
 
     return common.map_rows(docs, "doc_id long, mark long, node long, n int, fp long, prefix array<long>", lambda: digest, rows=256)
 
@@ -87,7 +87,7 @@ def words_of(nodes: DataFrame, classes: DataFrame, docs: DataFrame, bits: Broadc
         keys, rows, starts, n = sets(batch.column("text").to_pylist(), bits.value)
         first, sizes = (np.zeros(batch.num_rows, np.int64) for _ in range(2))
         first[rows], sizes[rows] = starts, n
-        return {"keys": lines.ragged(keys, first, sizes)}
+        return {"keys": arrays.ragged(keys, first, sizes)}
 
     return common.map_rows(texts, "node long, keys array<long>", lambda: read, rows=256)
 
@@ -110,7 +110,7 @@ def alike(classes: DataFrame) -> DataFrame:
 def links(classes: DataFrame, docs: DataFrame, bits: Broadcast) -> DataFrame:
     """Links (a, b) that join the same nodes as all pairs of similar sets do; classes: node, mark, n, fp, prefix."""
     every = classes.select("node", "n", F.posexplode("prefix").alias("i", "key"))
-    entries = common.materialise(lines.open_entries(every.select("key", "node", "n", "i", F.expr("0L").alias("p"), F.expr("0L").alias("q"))).drop("p", "q"))
+    entries = common.materialise(arrays.open_entries(every.select("key", "node", "n", "i", F.expr("0L").alias("p"), F.expr("0L").alias("q"))).drop("p", "q"))
     words = common.materialise(words_of(entries.select("node"), classes, docs, bits))
     near = verified(alike(classes), words)  # who isn't in entries is similar to none
     known = common.materialise(simhash.components(near).toDF("node", "comp"))
@@ -146,7 +146,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     Texts without words are one group. Repeated rows (equal doc_id and text) are copies: one stays. Rows without a doc_id stay.
     """
     plain = common.pick(docs, doc_id="long", text="string").select("doc_id", F.xxhash64("text").alias("mark"), "text")
-    bits = docs.sparkSession.sparkContext.broadcast(lines.rarity(plain, lambda texts: shingles(texts)[0]))
+    bits = docs.sparkSession.sparkContext.broadcast(arrays.rarity(plain, lambda texts: shingles(texts)[0]))
     marked = common.materialise(digests(plain, bits))
     classes = common.materialise(marked.groupBy("node", "n", "prefix").agg(F.min("mark").alias("mark"), F.min("doc_id").alias("rep"), F.min("fp").alias("fp")))
     marked = marked.select("doc_id", "node")

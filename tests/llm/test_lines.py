@@ -107,3 +107,21 @@ def test_similar_lines_are_compared_with_few_earlier_ones(spark, monkeypatch):
     gone = {r.doc_id for r in lines.dedup(docs).collect() if r.removed}
     assert gone == set(range(1, 200))
     assert sum(compared) < 700  # all pairs of a line and an earlier one: 19,900
+
+
+def test_no_python_on_the_executors(spark, hard, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    def refused(*_, **__):
+        raise AssertionError("DataFrame functions only are asked for")
+
+    for name in ("mapInArrow", "mapInPandas"):
+        monkeypatch.setattr(type(hard), name, refused)
+    assert isinstance(out := lines.dedup(hard), DataFrame) and out.count() == hard.count()
+
+
+def test_all_white_space_of_split_parts_words(spark):
+    spaces = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) != "\n"]
+    rows = [(0, "a\xdf b c d e"), (1, "1 2 3 4 5"), *((k + 2, f"{x}A\xdf{x}b{x}{x}c {x}d{x}E{x}") for k, x in enumerate(spaces)), *((k + 90, f"5{x}4{x}3{x}2{x}1") for k, x in enumerate(spaces))]
+    gone = {r.doc_id for r in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect() if list(r.removed) == [0]}
+    assert gone == {r[0] for r in rows[2:]}
