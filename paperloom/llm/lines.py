@@ -139,11 +139,17 @@ def others(entries: DataFrame) -> DataFrame:
 
 
 def open_entries(entries: DataFrame) -> DataFrame:
-    """The entries that may match another one of their list."""
-    own = entries.toDF("key1", "id", "at", "n", "p", "q", "i")
-    other = entries.toDF("key2", "id2", "at2", "m", "r", "s", "j")  # both sides renamed: they share one shuffle
+    """The entries that may match another one of their list. Those go first that have none of a fitting length: what is left is written, and
+    only that is shuffled for the semi-join (both sides once, as generated rows would not be)."""
+    by_size = Window.partitionBy("key").orderBy("n")
+    sized = entries.select("*", F.lag("n").over(by_size).alias("less"), F.lead("n").over(by_size).alias("more"))
+    left = common.materialise(sized.where("5 * less >= 4 * n or 5 * n >= 4 * more").drop("less", "more"))
+    own = left.toDF("key1", "id", "at", "n", "p", "q", "i")
+    other = left.toDF("key2", "id2", "at2", "m", "r", "s", "j")
     apart = (F.col("id") != F.col("id2")) | (F.col("at") != F.col("at2"))
-    return own.join(other, (F.col("key1") == F.col("key2")) & apart & fits(), "left_semi").toDF(*entries.columns)
+    found = common.materialise(own.join(other, (F.col("key1") == F.col("key2")) & apart & fits(), "left_semi").toDF(*entries.columns))
+    common.release(left)
+    return found
 
 
 def sets_of(wanted: DataFrame, docs: DataFrame, bits: Callable[[Column], Column]) -> DataFrame:
@@ -174,7 +180,7 @@ def later_matches(docs: DataFrame) -> DataFrame:
     copies = common.materialise(lines.select("pos", "h1", "h2").join(repeated, ["h1", "h2"]).where("pos > first").select(*place("pos")))
     common.release(lines)
 
-    left = common.materialise(open_entries(entries_of(classes)))
+    left = open_entries(entries_of(classes))
     common.release(classes)
     words = common.materialise(sets_of(left.select("id", "at").distinct(), docs, bits))
 
