@@ -86,11 +86,15 @@ def visual_status(summary: Column, nearby: Column, caption: Column, resource: Co
     return F.when(summary, "vlm_summarized").when(nearby, "ocr_or_nearby_text").when(caption, "caption_only").when(resource, "resource_only").otherwise("empty")
 
 
+def short_form(plain: Column, most_words: int) -> Column:
+    """Whether a normalised text has one to `most_words` words, not all of them stopwords."""
+    stop = "|".join(SHORT_STOPWORDS)
+    return plain.rlike(rf"^(?!(?:(?:{stop})(?: |$))+$)[^ ]++(?: [^ ]++){{0,{most_words - 1}}}$")
+
+
 def valid_short_text(text: Column, most_words: int = 12, most_chars: int = 90) -> Column:
     """Short enough, and with a word that isn't a stopword."""
-    words = T.words(text)
-    telling = F.exists(words, lambda w: ~w.isin(*SHORT_STOPWORDS))
-    return F.coalesce((F.trim(text) != "") & (F.length(F.trim(text)) <= most_chars) & (F.size(words) <= most_words) & telling, F.lit(False))
+    return F.coalesce((F.trim(text) != "") & (F.length(F.trim(text)) <= most_chars) & short_form(T.normalize(text), most_words), F.lit(False))
 
 
 def valid_heading(text: Column) -> Column:

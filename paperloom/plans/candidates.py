@@ -26,12 +26,15 @@ def quoted(items) -> str:
 
 
 def report_spans(spark, sf_dir):
-    """The latest sales of each client as reports in text: qid, question, candidate_id, text, score, page_rank, top."""
+    """The latest sales of each client as reports in text: qid, candidate_id, text, score, page_rank, top, and the question as asked() reads it, once a client."""
     last = Window.partitionBy("client_id").orderBy(F.desc_nulls_last("sold_at"), F.desc("sale_id"))
     sales = X.table(spark, sf_dir, "sales").where("client_id is not null and sale_id is not null").dropDuplicates(["client_id", "sale_id"])
     latest = sales.withColumn("page_rank", F.row_number().over(last)).where(F.col("page_rank") <= SPANS_EACH)
     clients = X.table(spark, sf_dir, "clients").groupBy("client_id").agg(*[F.coalesce(F.min(c), F.lit("")).alias(c) for c in ("name", "email", "city")], F.coalesce(F.min("nation_id"), F.lit(0)).alias("nation_id"))
-    rows = latest.join(clients, "client_id")
+    # Rows are short and their texts take long to read, so tasks may not be as few as bytes would fill. Into as many partitions as before nothing would be dealt anew: one more.
+    parts = 1 + max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    question = F.get(F.array(*map(F.lit, ASKED)), (F.col("client_id") % len(ASKED)).cast("int"))
+    rows = latest.repartition(parts, "client_id").join(K.asked(clients.withColumn("question", question)), "client_id")
     n, text = F.col("sale_id"), lambda c: F.col(c).cast("string")
     region = F.get(F.array(*map(F.lit, REGIONS)), F.col("nation_id") % len(REGIONS))
     source = F.when(n % 3 == 0, F.concat(F.lit("Source: https://shop.example.net/s/"), text("sale_id"))).when(n % 3 == 1, F.concat(F.lit("Cited - USMM"), text("sale_id"))).otherwise(F.concat(F.lit("Footer: "), F.col("email")))
@@ -41,8 +44,7 @@ def report_spans(spark, sf_dir):
         F.concat(F.lit("Tax rate "), F.coalesce(text("priority"), F.lit("0")), F.lit(".5% ("), (n % 90).cast("string"), F.lit(") of 1,234 in row "), (n % 400).cast("string")),
         F.concat(F.lit("Paid on "), F.coalesce(F.date_format("sold_at", "yyyy-MM-dd"), F.lit("no day")), F.lit(" by GLOBAL TRADE OFFICE of "), F.col("name"), F.lit(" Company")),
     ]
-    question = F.get(F.array(*map(F.lit, ASKED)), (F.col("client_id") % len(ASKED)).cast("int"))
-    return rows.select(F.col("client_id").alias("qid"), question.alias("question"), F.format_string("c%02d", "page_rank").alias("candidate_id"), F.concat_ws("\n", *lines).alias("text"), (1 / F.col("page_rank")).alias("score"), "page_rank", F.when(n % 2 == 0, 100).alias("top"))
+    return rows.select(F.col("client_id").alias("qid"), *("question", "keywords", "fields", "numbers", "target"), F.format_string("c%02d", "page_rank").alias("candidate_id"), F.concat_ws("\n", *lines).alias("text"), (1 / F.col("page_rank")).alias("score"), "page_rank", F.when(n % 2 == 0, 100).alias("top"))
 
 
 REPORTS = f"""named as (select client_id, coalesce(min(name), '') as name, coalesce(min(email), '') as email, coalesce(min(city), '') as city, coalesce(min(nation_id), 0) as nation_id from clients group by 1),
